@@ -7,6 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm.common import table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.fingerprints import fingerprint_all
+
+    return fingerprint_all(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
