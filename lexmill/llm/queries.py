@@ -19,6 +19,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_all(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.pii import detect
 
