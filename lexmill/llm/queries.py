@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of high quality. Background: all documents."""
+    from lexmill.llm.lmscore import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.secrets import scan
 
@@ -26,12 +33,24 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.pii import detect
 
     return detect(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
