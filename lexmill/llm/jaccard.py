@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import cut
+from lexmill.llm.common import cut, join_checked
 
 #: Words of a shingle, and the likeness from which two sets link, in hundredths.
 WORDS = 4
@@ -245,3 +245,20 @@ def link_classes(documents: DataFrame, words: int = WORDS, percent: int = PERCEN
     wholes = classes.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("first").alias("least"))
     known = classes.where("copies > 1 or part is not null").join(wholes, "part", "left").select("node", F.coalesce("least", "first").alias("component_id"))
     return found.select("doc_id", "n", "node").join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows that stay when one document of each linked group does: that with the smallest id.
+
+    Documents without words are in no group and stay. Of repeated rows one
+    stays. Only the ids of what goes are joined to the texts.
+    """
+    found = cut(link_classes(documents, words, percent))
+    kept = found.where("doc_id <=> component_id")
+    gone = found.where("not doc_id <=> component_id").select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti").distinct()
+    out = join_checked(documents, cut(gone), "doc_id", "left_anti")
+    repeated = cut(kept.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return out
+    same = join_checked(out, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_checked(out, repeated, "doc_id", "left_anti").unionByName(same)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from lexmill.llm import features
 from lexmill.llm import textkernel as K
@@ -138,8 +139,8 @@ def all_features(column: pa.Array, chosen: np.ndarray) -> np.ndarray:
     return np.hstack([features.matrix(column), word_features(column, chosen)])
 
 
-def posteriors(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, tokens (words) and p (array<double>, one per domain) of every document."""
+def posteriors(documents: DataFrame, labels: DataFrame, *keep: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``keep`` columns, _tokens (words) and _p (array<double>, one per domain) of every document."""
     kinds = len(DOMAINS)
     chosen_rows = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = documents.select("doc_id", F.col("text").cast("string").alias("_text"))
@@ -157,16 +158,23 @@ def posteriors(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     width = len(features.NAMES) + features.BUCKETS + len(chosen)
     x = np.array([np.frombuffer(r["x"], "<f4") for r in got], float).reshape(-1, width)
     model = fit_posterior(x, np.array([r["domain"] for r in got], np.int64), kinds)
+    given = documents.select(*dict.fromkeys([*keep, "text"])).withColumn("text", F.col("text").cast("string"))
+    at, names = given.columns.index("text"), list(keep)
 
     def run(batches):
         for batch in batches:
-            p = model.predict(all_features(batch.column(1), chosen))
-            data, offsets = K.string_buffer(batch.column(1))
-            words = np.concatenate([np.diff(K.words_of(data[o[0] : o[-1]], o - o[0])[2]) for a, b in K.chunks(offsets) for o in (offsets[a : b + 1],)]) if len(offsets) > 1 else np.zeros(0)
+            column = batch.column(at)
+            p = model.predict(all_features(column, chosen))
+            data, offsets = K.string_buffer(column)
+            words = [np.zeros(0, np.int64)]
+            for first, last in K.chunks(offsets):
+                own = offsets[first : last + 1]
+                words.append(np.diff(K.words_of(data[own[0] : own[-1]], own - own[0])[2]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * kinds, pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.astype(np.int64)), lists], ["doc_id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(words).astype(np.int64)), lists], [*names, "_tokens", "_p"])
 
-    return text.mapInArrow(run, f"doc_id {kind}, tokens long, p array<double>")
+    schema = given.select(*keep).schema.add("_tokens", LongType()).add("_p", ArrayType(DoubleType()))
+    return given.mapInArrow(run, schema)
 
 
 def rate_after(steps: list[list[float]], p: Column) -> Column:
@@ -184,11 +192,11 @@ def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: st
     tokens; in the metric of tokens a full step never overshoots.
     """
     kinds = len(DOMAINS)
-    p = F.col("p")
+    p = F.col("_p")
 
     def totals(steps):
         r = rate_after(steps, p)
-        return [float(x or 0.0) for x in scored.agg(*(F.sum(r * F.col("tokens") * p[k]).alias(f"m{k}") for k in range(kinds))).first()]
+        return [float(x or 0.0) for x in scored.agg(*(F.sum(r * F.col("_tokens") * p[k]).alias(f"m{k}") for k in range(kinds))).first()]
 
     mass = totals([])
     total = growth * mass[DOMAINS.index(anchor)] / weights[anchor]
@@ -212,9 +220,25 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEI
     other. Repeated rows count each; a domain without tokens gets none; extra
     columns are ignored.
     """
-    scored = cut(posteriors(documents, labels))
-    steps = fit_rates(scored, weights)
+    scored, rate, copies = rated(documents, labels, weights, seed, "doc_id")
+    return scored.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate.alias("rate")).withColumn("copies", copies)
+
+
+def rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, *keep: str) -> tuple[DataFrame, Column, Column]:
+    """(rows with posteriors, their rate, their copies given a column ``rate``)."""
+    scored = cut(posteriors(documents, labels, *keep))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return scored.select(
-        "doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate_after(steps, F.col("p")).alias("rate")
-    ).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
+    return scored, rate_after(fit_rates(scored, weights), F.col("_p")), F.floor(F.col("rate") + u).cast("long")
+
+
+def resample(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = 23) -> DataFrame:
+    """The rows of ``documents``, each as often as its copies say.
+
+    A document whose likeliest domain is the first (clean) stays at least once.
+    """
+    scored, rate, copies = rated(documents, labels, weights, seed, *documents.columns)
+    others = [F.col("_p")[k] for k in range(1, len(DOMAINS))]
+    clean = F.col("_p")[0] >= F.greatest(*others)
+    n = F.greatest(F.col("_copies"), clean.cast("long"))
+    rows = scored.withColumn("rate", rate).withColumn("_copies", copies).where(n > 0)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*documents.columns)

@@ -93,6 +93,18 @@ def score(documents: DataFrame, ranker: Ranker, *keep: str) -> DataFrame:
     return documents.select(*wanted, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{schema}, score double")
 
 
+def accepted(documents: DataFrame, ranker: Ranker) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            s = ranker.score(features.matrix(batch.column(at)))
+            yield batch.filter(pa.array(s >= ranker.accept))
+
+    return documents.withColumn("text", F.col("text").cast("string")).mapInArrow(run, documents.withColumn("text", F.col("text").cast("string")).schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, accept: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; repeated rows get the same score.
 

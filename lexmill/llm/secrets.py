@@ -143,3 +143,26 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str = "<SECRET>")
             out += [text[at:start], mask]
         at = max(at, end)
     return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """All rows and columns, every secret in ``text`` masked and ``n_chars`` (if there) that of the new text; texts without secrets, null ones too, stay as they are."""
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    at = out.columns.index("text")
+
+    def run(batches):
+        novelty = Novelty()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, text in enumerate(texts):
+                if text:
+                    base = base_spans(text)
+                    every = base + novel_spans(text, base, novelty, limit)
+                    if every:
+                        texts[i] = masked(text, every)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    found = out.mapInArrow(run, out.schema)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found
