@@ -1 +1,11 @@
-"""lexmill: corpus curation, leakage audit and transcript evaluation on Spark."""
+"""lexmill: corpus curation, leakage audit and transcript evaluation on Spark.
+
+Functions that run on executors are pickled by value, so a cluster needs no
+copy of this package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
