@@ -12,9 +12,11 @@ every linked pair meets in a cell.
 
 Cells then join recursively with documents as pivots: in every round each
 member is attached to the pivot it shares most cells with and their distance is
-computed exactly; linked parts merge, and members of one part need no further
-comparison. When few pairs of different parts are left in the cells, all of them
-are compared. Nothing is capped: the rounds only decide the order of comparisons.
+computed exactly; linked parts merge. Members leave a cell when it holds nobody
+else whom they could link with: shingles that occur once in the corpus are
+shared with nobody, and with the sizes they bound the likeness of a pair from
+above. When few pairs of different parts are left, all of them are compared.
+Nothing is capped: the rounds only decide the order of comparisons.
 
 Rarity comes from counts of all shingles of all documents, kept in a table of
 fixed size; a shingle that the table shows to be unique needs no cell. Exact
@@ -45,7 +47,7 @@ LEVELS = (2, 16, 256)
 FOLLOWERS = 256
 #: Pairs of different parts that are compared without another round, at least.
 FEW_PAIRS = 20_000
-ROUNDS = 10
+ROUNDS = 6
 
 
 def window(n: np.ndarray | int, percent: int = PERCENT):
@@ -103,7 +105,7 @@ def count_table(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def points(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, pivots, text): the digest of each set, and the pivots in its window that are not unique.
+    """(doc_id, n, u, node, pivots, text): size, number of unique shingles, digest of the set, and the pivots in its window that are not unique.
 
     Only documents with such pivots keep their text.
     """
@@ -112,25 +114,28 @@ def points(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> Dat
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            sizes, nodes, pivots, kept = [], [], [], []
+            sizes, unique, nodes, pivots, kept = [], [], [], [], []
             for i, s in enumerate(K.shingle_sets(batch.column(1), words)):
                 slot = (s >> K.U64(64 - SLOT_BITS)).astype(np.int64)
                 level = levels[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & 3
                 first = np.argsort(level, kind="stable")[: int(window(len(s), percent)) if len(s) else 0]
                 first = first[level[first] > 0]
                 sizes.append(len(s))
-                nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                unique.append(int((level == 0).sum()))
+                nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 pivots.append(s[first].view(np.int64))
                 kept.append(batch.column(1)[i].as_py() if len(first) else None)
             lengths = np.array([len(p) for p in pivots], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(pivots) if pivots else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()), lists, pa.array(kept, pa.string())], ["doc_id", "n", "node", "pivots", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(unique, pa.int64()), pa.array(nodes, pa.binary()), lists, pa.array(kept, pa.string())], ["doc_id", "n", "u", "node", "pivots", "text"])
 
-    return texts.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, node string, pivots array<long>, text string")
+    return texts.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, u long, node binary, pivots array<long>, text string")
 
 
-def alike_in_size(a, b, percent: int):
-    return F.greatest(a, b) * percent <= F.least(a, b) * 100
+def may_link(n_a, u_a, n_b, u_b, percent: int):
+    """Whether two sets of n shingles, u of them unique in the corpus, can link at all."""
+    common = F.least(n_a - u_a, n_b - u_b)
+    return common * 100 >= (n_a + n_b - common) * percent
 
 
 def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -166,10 +171,10 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     common = int((own[np.minimum(at, len(own) - 1)] == s).sum()) if len(own) else 0
                     if len(s) and links(common, len(own), len(s), percent):
                         out.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     dealt = followers.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "rank")
-    return dealt.mapInArrow(run, "a string, b string")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,26 +204,48 @@ def merge(parts: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(parts.join(joined.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left").select("node", F.coalesce("whole", "part").alias("part")))
 
 
+def open_members(cells: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Members that can still link with a member of another part of their cell.
+
+    A member is held against the kinds (n, u) in its cell, of which there are
+    few, not against every other member.
+    """
+    placed = cells.join(parts, "node")
+    kinds = placed.groupBy("pivot", F.col("n").alias("n_k"), F.col("u").alias("u_k")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = placed.groupBy("pivot").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low != _high").select("pivot")
+    other = (F.col("low") != F.col("part")) | (F.col("high") != F.col("part"))
+    kinds = kinds.join(mixed, "pivot", "left_semi").withColumnRenamed("pivot", "pivot_k")
+    fits = (F.col("pivot") == F.col("pivot_k")) & other & may_link(F.col("n"), F.col("u"), F.col("n_k"), F.col("u_k"), percent)
+    return placed.join(kinds, fits, "left_semi")
+
+
 def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, part) of every node in a cell: the components of the links between them."""
     parts = cut(cells.select("node").distinct().select("node", F.col("node").alias("part")))
-    entries = cells.count()
+    tried = None
     for turn in range(ROUNDS + 1):
-        placed = cells.join(parts, "node")
-        held = placed.groupBy("pivot", "part").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        left = held.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
+        placed = cut(open_members(cells, parts, percent))
+        cells = placed.drop("part")
+        sums = placed.groupBy("pivot", "part").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        found = sums.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), F.sum("m").alias("members")).first()
+        if not found["pairs"]:
             break
-        if left <= max(FEW_PAIRS, 2 * entries) or turn == ROUNDS:
-            mine = placed.select("pivot", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-            other = placed.select("pivot", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-            pairs = mine.join(other, "pivot").where((F.col("part_a") != F.col("part_b")) & (F.col("a") < F.col("b")) & alike_in_size(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+        if found["pairs"] <= max(FEW_PAIRS, 2 * found["members"]) or turn == ROUNDS:
+            mine = placed.select("pivot", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("part").alias("part_a"))
+            other = placed.select("pivot", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("part").alias("part_b"))
+            fits = (F.col("part_a") != F.col("part_b")) & (F.col("a") < F.col("b")) & may_link(F.col("n_a"), F.col("u_a"), F.col("n_b"), F.col("u_b"), percent)
+            pairs = mine.join(other, "pivot").where(fits).select("a", "b").distinct()
             return merge(parts, cut(compare(cut(pairs), texts, words, percent)))
-        rank = F.xxhash64("node", F.lit(turn))
-        pivots = placed.groupBy("pivot").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a")), rank).alias("p")).select("pivot", "p.*")
-        shared = placed.join(pivots, "pivot").where((F.col("part") != F.col("part_a")) & alike_in_size(F.col("n"), F.col("n_a"), percent)).groupBy("node", "a").agg(F.count("*").alias("cells"))
-        nearest = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("cells", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        parts = merge(parts, cut(compare(cut(nearest), texts, words, percent)))
+        # Sets with few unique shingles are the likely centres; every other round any set may be one.
+        rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("u")).otherwise(F.lit(0)), F.xxhash64("node", F.lit(turn)))
+        pivots = placed.groupBy("pivot").agg(F.min_by(F.struct(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "u", "part"))), rank).alias("p")).select("pivot", "p.*")
+        fits = (F.col("part") != F.col("part_a")) & may_link(F.col("n"), F.col("u"), F.col("n_a"), F.col("u_a"), percent)
+        shared = placed.join(pivots, "pivot").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"), "u_a").agg(F.count("*").alias("cells"))
+        if tried is not None:
+            shared = shared.join(tried, ["a", "b"], "left_anti")
+        nearest = cut(shared.groupBy("b").agg(F.max_by("a", F.struct("cells", -F.col("u_a"), "a")).alias("a")).select("a", "b"))
+        tried = nearest if tried is None else tried.union(nearest)
+        parts = merge(parts, cut(compare(nearest, texts, words, percent)))
     return parts
 
 
@@ -233,13 +260,15 @@ def link_classes(documents: DataFrame, words: int = WORDS, percent: int = PERCEN
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("_text"))
     found = cut(points(texts, count_table(texts, words), words, percent))
     met = found.where(F.size("pivots") > 0)
-    entries = met.select("node", "n", F.explode("pivots").alias("pivot")).distinct()
+    # Exact copies are one point; points get numbers, which the written table fixes.
+    made = met.groupBy(F.col("node").alias("digest")).agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("pivots").alias("pivots"))
+    numbered = cut(made.withColumn("node", F.monotonically_increasing_id()))
+    entries = numbered.select("node", "n", "u", F.explode("pivots").alias("pivot"))
     crowded = entries.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot")
-    cells = cut(entries.join(crowded, "pivot").select("pivot", "node", "n"))
-    firsts = met.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
-    involved = cells.select("node").distinct().join(firsts, "node")
-    own = met.select("node", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").join(involved, ["node", "doc_id"]).select("node", "text")
-    parts = join_cells(cells, cut(own), words, percent)
+    cells = cut(entries.join(crowded, "pivot").select("pivot", "node", "n", "u"))
+    involved = numbered.select("node", "digest", "doc_id").join(cells.select("node").distinct(), "node")
+    own = met.select(F.col("node").alias("digest"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").join(involved, ["digest", "doc_id"]).select("node", "text")
+    parts = join_cells(cells, cut(own), words, percent).join(numbered.select("node", "digest"), "node").select(F.col("digest").alias("node"), "part")
     classes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     classes = classes.join(parts, "node", "left")
     wholes = classes.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("first").alias("least"))
