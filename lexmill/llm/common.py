@@ -68,3 +68,24 @@ def persistent(name: str) -> types.SimpleNamespace:
     if key not in sys.modules:
         sys.modules[key] = types.SimpleNamespace()
     return sys.modules[key]
+
+
+def sliced(batches, rows: int = 1024):
+    """The batches in pieces of at most ``rows`` rows, so that Python holds little at once; at the end, what it freed goes back to the system."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Free pages that numpy and Arrow no longer use; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
+from lexmill.llm.common import sliced
 
 #: Hashed word buckets that follow the numeric features.
 BUCKETS = 192
@@ -69,7 +70,7 @@ def collect(docs: DataFrame, *keep: str) -> tuple[np.ndarray, list[tuple]]:
     """Features of a bounded set of rows, on the driver, with the columns ``keep``; in a fixed order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = matrix(batch.column("text")).astype("<f4")
             arrays = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "x"])

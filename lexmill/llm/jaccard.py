@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import cut, join_checked
+from lexmill.llm.common import cut, join_checked, sliced
 
 #: Words of a shingle, and the likeness from which two sets link, in hundredths.
 WORDS = 4
@@ -68,7 +68,7 @@ def count_table(texts: DataFrame, words: int) -> np.ndarray:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             sets = [s >> K.U64(64 - SLOT_BITS) for s in K.shingle_sets(batch.column(0), words)]
             slots = np.sort(np.concatenate(sets).astype(np.uint32)) if sets else np.zeros(0, np.uint32)
             bounds = np.searchsorted(slots, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(BLOCK_BITS))
@@ -113,7 +113,7 @@ def points(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> Dat
 
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, unique, nodes, pivots, kept = [], [], [], [], []
             for i, s in enumerate(K.shingle_sets(batch.column(1), words)):
                 slot = (s >> K.U64(64 - SLOT_BITS)).astype(np.int64)
@@ -160,7 +160,7 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     def run(batches):
         now, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             a, rank, b = (batch.column(i).to_pylist() for i in (0, 2, 3))
             out = []
             for i, s in enumerate(K.shingle_sets(batch.column(4), words)):

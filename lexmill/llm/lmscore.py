@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import BROADCAST_ROWS
+from lexmill.llm.common import BROADCAST_ROWS, sliced
 
 #: Words with an entry of their own, hash classes for the rest, and the class of a text's edge.
 WORDS = 1023
@@ -36,7 +36,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): hashes of all words of all documents with their counts, pre-summed per batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 10_000):
             data, offsets = K.string_buffer(batch.column(0))
             words, sums = [], []
             for first, last in K.chunks(offsets):
@@ -105,7 +105,7 @@ def pair_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndar
                 table[:] += np.bincount(np.concatenate(held), minlength=len(table))
             held, n = [], 0
 
-        for batch in batches:
+        for batch in sliced(batches):
             target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             row = 0
             for before, after, begin in entries(batch.column(0), own_known):
@@ -175,7 +175,7 @@ def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
         raw = tables.value
         own_known = np.frombuffer(raw[0], np.uint64)
         near, far = (np.frombuffer(x, np.float32) for x in raw[1:])
-        for batch in batches:
+        for batch in sliced(batches):
             n, a, b = [], [], []
             for before, after, begin in entries(batch.column(1), own_known):
                 codes = before * SIZE + after

@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from lexmill.llm import features
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import cut, join_checked
+from lexmill.llm.common import cut, join_checked, sliced
 
 DOMAINS = ("clean", "toxic", "poor")
 #: Share of the target tokens that each domain should have.
@@ -102,7 +102,7 @@ def choose_buckets(rows: DataFrame, kinds: int) -> np.ndarray:
     """The buckets whose presence differs most between a domain and the rest, on the (bounded) labelled rows."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             counts, row = np.zeros((kinds, BUCKETS), np.int64), 0
             for n, rows_, bucket in buckets(batch.column(0)):
@@ -148,7 +148,7 @@ def posteriors(documents: DataFrame, labels: DataFrame, *keep: str, rows: int =
     chosen = choose_buckets(sample, kinds)
 
     def sampled(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = all_features(batch.column(1), chosen).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "domain", "x"])
 
@@ -162,7 +162,7 @@ def posteriors(documents: DataFrame, labels: DataFrame, *keep: str, rows: int =
     at, names = given.columns.index("text"), list(keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column(at)
             p = model.predict(all_features(column, chosen))
             data, offsets = K.string_buffer(column)

@@ -17,22 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import persistent
+from lexmill.llm.common import persistent, sliced
 
 #: Documents in a group, on average.
 GROUP_DOCS = 2048
-#: Words whose ids a Python process keeps.
-WORDS_KEPT = 700_000
+#: Stems in one generation that a Python process keeps.
+WORDS_KEPT = 150_000
 #: Latin-1 letters, then neither letters nor digits nor white space.
 LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 END_ID = 1
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, each encoded once.
+    """word -> its ids as little-endian 32-bit bytes, for the words of some texts.
 
     The tokenizer drops white space and never joins what white space parts,
-    so a text's ids are those of its words, one after the other.
+    so a text's ids are those of its words, one after the other. Stems stay for
+    later texts, in two generations: what the younger one lacks is sought in
+    the older, and a full younger one becomes the older.
     """
 
     def __init__(self, path: str):
@@ -40,19 +42,28 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def stem(self, word: str) -> bytes:
+        out = self.young.get(word)
+        if out is None:
+            out = self.old.get(word)
+            if out is None:
+                out = self.encode(word)
+            if len(self.young) >= WORDS_KEPT:
+                self.young, self.old = {}, self.young
+            self.young[word] = out
+        return out
+
     def __missing__(self, word: str) -> bytes:
-        if max(word) < "\u0100" and (low := word.lower()) != word:
-            out = self[low]  # in Latin-1 lower case is letter by letter, as the tokenizer has it
-        elif (m := LETTERS_THEN_MARKS.fullmatch(word)) is not None:
-            out = self[m[1]] + self[m[2]]  # the tokenizer parts letters from marks
-        else:
-            out = self.encode(word)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
+        # In Latin-1 lower case is letter by letter, as the tokenizer has it; it parts letters from marks.
+        low = word.lower() if max(word) < "\u0100" else word
+        m = LETTERS_THEN_MARKS.fullmatch(low)
+        out = self.stem(low) if m is None else self.stem(m[1]) + self.stem(m[2])
         self[word] = out
         return out
 
@@ -76,12 +87,14 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_column
     def run(batches):
         cache = word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches, 4096):
+            cache.clear()
             counts, sums = [], []
             for text in batch.column(1):
                 ids = cache.ids(text.as_py() or "") + end
                 counts.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])
+            cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "sums"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, doc_tokens long, sums array<long>")

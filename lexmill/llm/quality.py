@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import features
-from lexmill.llm.common import join_checked
+from lexmill.llm.common import join_checked, sliced
 
 #: Labelled rows used for training, at most; those with the smallest hash of the id.
 TRAIN_ROWS = 8000
@@ -85,7 +85,7 @@ def score(documents: DataFrame, ranker: Ranker, *keep: str) -> DataFrame:
     wanted = [F.col(c) for c in keep]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             s = ranker.score(features.matrix(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*keep, "score"])
 
@@ -98,7 +98,7 @@ def accepted(documents: DataFrame, ranker: Ranker) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             s = ranker.score(features.matrix(batch.column(at)))
             yield batch.filter(pa.array(s >= ranker.accept))
 

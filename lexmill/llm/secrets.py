@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import sliced
+
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -112,7 +114,7 @@ def scan(docs: DataFrame, *keep: str, text_column: str = "text", limit: float =
 
     def run(batches):
         novelty = Novelty()
-        for batch in batches:
+        for batch in sliced(batches):
             counts, sums, spans, texts = [[], [], []], [], [], []
             for value in batch.column(batch.num_columns - 1):
                 text = value.as_py() or ""
@@ -152,7 +154,7 @@ def redact(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
 
     def run(batches):
         novelty = Novelty()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             for i, text in enumerate(texts):
                 if text:
