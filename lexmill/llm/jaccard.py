@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,6 @@ def links(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 def count_table(texts: DataFrame, words: int) -> np.ndarray:
     """Two bits for each slot of shingle hashes: how often it occurs over all documents (a document counts once)."""
-    spark = texts.sparkSession
     blocks = 1 << (SLOT_BITS - BLOCK_BITS)
 
     def run(batches):
@@ -104,12 +104,11 @@ def count_table(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-def points(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> DataFrame:
+def points(texts: DataFrame, shared: Broadcast, words: int, percent: int) -> DataFrame:
     """(doc_id, n, u, node, pivots, text): size, number of unique shingles, digest of the set, and the pivots in its window that are not unique.
 
-    Only documents with such pivots keep their text.
+    ``shared`` is the count table. Only documents with such pivots keep their text.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
@@ -258,7 +257,9 @@ def link_classes(documents: DataFrame, words: int = WORDS, percent: int = PERCEN
     columns are ignored; an empty table gives no rows.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("_text"))
-    found = cut(points(texts, count_table(texts, words), words, percent))
+    shared = documents.sparkSession.sparkContext.broadcast(count_table(texts, words).tobytes())
+    found = cut(points(texts, shared, words, percent))
+    shared.destroy()
     met = found.where(F.size("pivots") > 0)
     # Exact copies are one point; points get numbers, which the written table fixes.
     made = met.groupBy(F.col("node").alias("digest")).agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("pivots").alias("pivots"))
