@@ -16,7 +16,7 @@ BROADCAST_ROWS = 1_000_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the shared tables, read by Spark alone (any store it can open)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +70,18 @@ def persistent(name: str) -> types.SimpleNamespace:
     return sys.modules[key]
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows from now on where the session has no setting of its own.
+
+    Whole texts travel in these batches; Spark's default of 10,000 rows would
+    hold tens of megabytes of text per task, several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def sliced(batches, rows: int = 1024):
     """The batches in pieces of at most ``rows`` rows, so that Python holds little at once; at the end, what it freed goes back to the system."""
     for batch in batches:

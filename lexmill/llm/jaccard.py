@@ -42,6 +42,8 @@ PERCENT = 85
 #: Slots of the count table (2 bits each), and blocks in which it is summed.
 SLOT_BITS = 27
 BLOCK_BITS = 21
+#: Slots that a task holds before it hands them on.
+HELD_SLOTS = 4_000_000
 #: Counts from which a slot has level 1, 2 and 3.
 LEVELS = (2, 16, 256)
 #: Followers that one task compares with a pivot before the pivot is replicated.
@@ -68,9 +70,10 @@ def count_table(texts: DataFrame, words: int) -> np.ndarray:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in sliced(batches, 2048):
-            sets = [s >> K.U64(64 - SLOT_BITS) for s in K.shingle_sets(batch.column(0), words)]
-            slots = np.sort(np.concatenate(sets).astype(np.uint32)) if sets else np.zeros(0, np.uint32)
+        held, n = [], 0
+
+        def flush():
+            slots = np.sort(np.concatenate(held))
             bounds = np.searchsorted(slots, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(BLOCK_BITS))
             ids, blobs = [], []
             for b in range(blocks):
@@ -78,7 +81,17 @@ def count_table(texts: DataFrame, words: int) -> np.ndarray:
                 if len(part):
                     ids.append(b)
                     blobs.append(squeeze.compress(np.diff(part, prepend=np.uint32(0)).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["block", "slots"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["block", "slots"])
+
+        for batch in sliced(batches):
+            for s in K.shingle_sets(batch.column(0), words):
+                held.append((s >> K.U64(64 - SLOT_BITS)).astype(np.uint32))
+                n += len(s)
+            if n >= HELD_SLOTS:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
 
     def total(batches):
         import zstandard
@@ -131,14 +144,32 @@ def points(texts: DataFrame, shared: Broadcast, words: int, percent: int) -> Dat
     return texts.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, u long, node binary, pivots array<long>, text string")
 
 
-def may_link(n_a, u_a, n_b, u_b, percent: int):
-    """Whether two sets of n shingles, u of them unique in the corpus, can link at all."""
-    common = F.least(n_a - u_a, n_b - u_b)
-    return common * 100 >= (n_a + n_b - common) * percent
+#: What is known of a member: size, unique shingles, and how it differs from its pivot p (of n_p shingles):
+#: r of them it lacks, s others it has that are not unique.
+PROFILE = ("n", "u", "p", "n_p", "r", "s")
+
+
+def may_link(x: dict, y: dict, added, percent: int):
+    """Whether two members can link at all, by the most shingles they can share.
+
+    Neither shares what is unique to it. If both were compared with one pivot,
+    they share no more of it than the one that lacks more of it has, and of
+    other shingles no more than the one with fewer has. Pairs that do share
+    such other shingles meet in cells of their own (``added``), so elsewhere
+    they count as none.
+    """
+    common = F.least(x["n"] - x["u"], y["n"] - y["u"])
+    of_pivot = x["n_p"] - F.greatest(x["r"], y["r"]) + F.when(added, F.least(x["s"], y["s"])).otherwise(0)
+    common = F.when(x["p"] == y["p"], F.least(common, of_pivot)).otherwise(common)
+    return common * 100 >= (x["n"] + y["n"] - common) * percent
+
+
+def profile(suffix: str = "") -> dict:
+    return {c: F.col(c + suffix) for c in PROFILE}
 
 
 def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, from whole texts.
+    """(a, b, n_a, n_b, common, linked, added: shingles of b that a lacks) of the (a, b) in ``pairs``, from whole texts.
 
     Rows stream past their pivot a; a pivot with many followers is replicated,
     so that its followers spread over tasks.
@@ -167,13 +198,15 @@ def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     now, own = a[i], s
                 elif now == a[i]:
                     at = np.searchsorted(own, s)
-                    common = int((own[np.minimum(at, len(own) - 1)] == s).sum()) if len(own) else 0
-                    if len(s) and links(common, len(own), len(s), percent):
-                        out.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                    same = own[np.minimum(at, len(own) - 1)] == s if len(own) else np.zeros(len(s), bool)
+                    common = int(same.sum())
+                    out.append((a[i], b[i], len(own), len(s), common, links(common, len(own), len(s), percent), s[~same].view(np.int64)))
+            columns = list(zip(*out)) if out else [()] * 7
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "n_a", "n_b", "common", "linked", "added"])
 
     dealt = followers.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "rank")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, common long, linked boolean, added array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,56 +229,64 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def merge(parts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``parts`` (node, part) with the parts that ``edges`` connect made one."""
+    """``parts`` (node, part, ...) with the parts that ``edges`` connect made one."""
     of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
     between = edges.join(of("a"), "a").join(of("b"), "b").where("part_a != part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
-    joined = components(between)
-    return cut(parts.join(joined.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left").select("node", F.coalesce("whole", "part").alias("part")))
+    joined = components(between).select(F.col("node").alias("part"), F.col("part").alias("whole"))
+    return parts.join(joined, "part", "left").withColumn("part", F.coalesce("whole", "part")).drop("whole")
 
 
 def open_members(cells: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Members that can still link with a member of another part of their cell.
 
-    A member is held against the kinds (n, u) in its cell, of which there are
-    few, not against every other member.
+    A member is held against the kinds of members in its cell (equal profiles),
+    of which there are few, not against every other member.
     """
     placed = cells.join(parts, "node")
-    kinds = placed.groupBy("pivot", F.col("n").alias("n_k"), F.col("u").alias("u_k")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = placed.groupBy("pivot").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low != _high").select("pivot")
+    kinds = placed.groupBy("pivot", *PROFILE).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = kinds.groupBy("pivot").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low != _high").select("pivot")
+    kinds = kinds.join(mixed, "pivot", "left_semi").withColumnsRenamed({c: f"{c}_k" for c in ("pivot", *PROFILE)})
     other = (F.col("low") != F.col("part")) | (F.col("high") != F.col("part"))
-    kinds = kinds.join(mixed, "pivot", "left_semi").withColumnRenamed("pivot", "pivot_k")
-    fits = (F.col("pivot") == F.col("pivot_k")) & other & may_link(F.col("n"), F.col("u"), F.col("n_k"), F.col("u_k"), percent)
-    return placed.join(kinds, fits, "left_semi")
+    return placed.join(kinds, (F.col("pivot") == F.col("pivot_k")) & other & may_link(profile(), profile("_k"), F.col("added"), percent), "left_semi")
 
 
 def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, part) of every node in a cell: the components of the links between them."""
-    parts = cut(cells.select("node").distinct().select("node", F.col("node").alias("part")))
-    tried = None
-    for turn in range(ROUNDS + 1):
+    cells = cells.withColumn("added", F.lit(False))
+    parts = cut(cells.select("node").distinct().select("node", F.col("node").alias("part"), *(F.lit(None).cast("long").alias(c) for c in PROFILE[2:])))
+    turn, useful = 0, True
+    while True:
         placed = cut(open_members(cells, parts, percent))
-        cells = placed.drop("part")
+        cells = placed.select(*cells.columns)
         sums = placed.groupBy("pivot", "part").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
         found = sums.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), F.sum("m").alias("members")).first()
         if not found["pairs"]:
-            break
-        if found["pairs"] <= max(FEW_PAIRS, 2 * found["members"]) or turn == ROUNDS:
-            mine = placed.select("pivot", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("part").alias("part_a"))
-            other = placed.select("pivot", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("part").alias("part_b"))
-            fits = (F.col("part_a") != F.col("part_b")) & (F.col("a") < F.col("b")) & may_link(F.col("n_a"), F.col("u_a"), F.col("n_b"), F.col("u_b"), percent)
-            pairs = mine.join(other, "pivot").where(fits).select("a", "b").distinct()
-            return merge(parts, cut(compare(cut(pairs), texts, words, percent)))
+            return parts
+        if not useful or turn == ROUNDS or found["pairs"] <= max(FEW_PAIRS, found["members"]):
+            side = lambda c, x: placed.select("pivot", "added", F.col("node").alias(c), F.col("part").alias(f"part_{c}"), *(F.col(k).alias(f"{k}_{x}") for k in PROFILE))
+            fits = (F.col("part_a") != F.col("part_b")) & (F.col("a") < F.col("b")) & may_link(profile("_x"), profile("_y"), F.col("added"), percent)
+            pairs = side("a", "x").join(side("b", "y").drop("added"), "pivot").where(fits).select("a", "b").distinct()
+            return cut(merge(parts, cut(compare(cut(pairs), texts, words, percent).where("linked"))))
         # Sets with few unique shingles are the likely centres; every other round any set may be one.
         rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("u")).otherwise(F.lit(0)), F.xxhash64("node", F.lit(turn)))
-        pivots = placed.groupBy("pivot").agg(F.min_by(F.struct(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "u", "part"))), rank).alias("p")).select("pivot", "p.*")
-        fits = (F.col("part") != F.col("part_a")) & may_link(F.col("n"), F.col("u"), F.col("n_a"), F.col("u_a"), percent)
-        shared = placed.join(pivots, "pivot").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"), "u_a").agg(F.count("*").alias("cells"))
-        if tried is not None:
-            shared = shared.join(tried, ["a", "b"], "left_anti")
-        nearest = cut(shared.groupBy("b").agg(F.max_by("a", F.struct("cells", -F.col("u_a"), "a")).alias("a")).select("a", "b"))
-        tried = nearest if tried is None else tried.union(nearest)
-        parts = merge(parts, cut(compare(nearest, texts, words, percent)))
-    return parts
+        centres = placed.groupBy("pivot").agg(F.min_by(F.struct(*(F.col(c).alias(f"{c}_a") for c in ("node", "part", *PROFILE))), rank).alias("c")).select("pivot", "c.*")
+        fits = (F.col("part") != F.col("part_a")) & may_link(profile(), profile("_a"), F.col("added"), percent)
+        shared = placed.join(centres, "pivot").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"), "u_a", "u").agg(F.count("*").alias("cells"))
+        nearest = cut(shared.groupBy("b", "u").agg(F.max_by("a", F.struct("cells", -F.col("u_a"), "a")).alias("a")).select("a", "b", "u"))
+        tested = cut(compare(nearest.select("a", "b"), texts, words, percent).join(nearest, ["a", "b"]))
+        counts = tested.agg(F.count("*").alias("all"), F.count_if("linked").alias("linked")).first()
+        useful = 8 * counts["linked"] > counts["all"]
+        # The first comparison is a member's profile; a pivot differs from itself in nothing.
+        told = tested.select(F.col("b").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), (F.col("n_a") - F.col("common")).alias("_r"), (F.col("n_b") - F.col("common") - F.col("u")).alias("_s"))
+        centre = tested.select(F.col("a").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), F.lit(0).cast("long").alias("_r"), F.lit(0).cast("long").alias("_s")).distinct().join(told.select("node"), "node", "left_anti")
+        known = parts.join(told.unionByName(centre), "node", "left")
+        news = [F.when(F.col("p").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in PROFILE[2:]]
+        first = tested.join(parts.where("p is null").select(F.col("node").alias("b")), "b").select(F.explode("added").alias("e"), F.col("b").alias("node"), F.col("n_b").alias("n"), "u")
+        more = first.select(F.xxhash64(F.lit("added"), "e").alias("pivot"), "node", "n", "u", F.lit(True).alias("added"))
+        shared = more.groupBy("pivot").agg(F.count("*").alias("_m")).where("_m > 1").select("pivot")
+        cells = cells.unionByName(cut(more.join(shared, "pivot").select(*cells.columns)))
+        parts = cut(merge(known.select("node", "part", *news), tested.where("linked").select("a", "b")))
+        turn += 1
 
 
 def link_classes(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

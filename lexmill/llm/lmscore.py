@@ -33,22 +33,33 @@ LEVEL = 3
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): hashes of all words of all documents with their counts, pre-summed per batch."""
+    """(word, n): hashes of all words of all documents with their counts, pre-summed in each task."""
+
+    def summed(words, sums):
+        w, back = np.unique(np.concatenate(words), return_inverse=True)
+        return [w], [np.bincount(back, np.concatenate(sums)).astype(np.int64)]
+
+    def rows(words, sums):
+        (w,), (n,) = summed(words, sums)
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
 
     def run(batches):
-        for batch in sliced(batches, 10_000):
+        words, sums = [], []
+        for batch in sliced(batches):
             data, offsets = K.string_buffer(batch.column(0))
-            words, sums = [], []
             for first, last in K.chunks(offsets):
                 own = offsets[first : last + 1]
                 part = data[own[0] : own[-1]]
                 starts, ends, _ = K.words_of(part, own - own[0])
                 w, n = np.unique(K.word_hashes(part, starts, ends), return_counts=True)
                 words.append(w), sums.append(n)
-            if words:
-                w, back = np.unique(np.concatenate(words), return_inverse=True)
-                n = np.bincount(back, np.concatenate(sums)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
+            if sum(map(len, words)) >= FOLD // 4:
+                words, sums = summed(words, sums)
+                if len(words[0]) >= FOLD // 8:
+                    yield rows(words, sums)
+                    words, sums = [], []
+        if words:
+            yield rows(words, sums)
 
     return docs.select("_text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

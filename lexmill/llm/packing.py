@@ -21,81 +21,93 @@ from lexmill.llm.common import persistent, sliced
 
 #: Documents in a group, on average.
 GROUP_DOCS = 2048
-#: Stems in one generation that a Python process keeps.
-WORDS_KEPT = 150_000
-#: Latin-1 letters, then neither letters nor digits nor white space.
-LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+#: Words that a task keeps before it starts anew.
+WORDS_KEPT = 500_000
+#: New words encoded in one call.
+TOGETHER = 2048
+#: Latin-1 letters, then perhaps marks: neither letters nor digits nor white space.
+LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 END_ID = 1
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, for the words of some texts.
+class WordIds:
+    """Ids of texts, each distinct word encoded once.
 
     The tokenizer drops white space and never joins what white space parts,
-    so a text's ids are those of its words, one after the other. Stems stay for
-    later texts, in two generations: what the younger one lacks is sought in
-    the older, and a full younger one becomes the older.
+    so a text's ids are those of its words, one after the other. New words of
+    a batch are encoded together, as one text, and told apart by the
+    tokenizer's own word numbers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def stem(self, word: str) -> bytes:
-        out = self.young.get(word)
-        if out is None:
-            out = self.old.get(word)
-            if out is None:
-                out = self.encode(word)
-            if len(self.young) >= WORDS_KEPT:
-                self.young, self.old = {}, self.young
-            self.young[word] = out
-        return out
-
-    def __missing__(self, word: str) -> bytes:
-        # In Latin-1 lower case is letter by letter, as the tokenizer has it; it parts letters from marks.
-        low = word.lower() if max(word) < "\u0100" else word
-        m = LETTERS_THEN_MARKS.fullmatch(low)
-        out = self.stem(low) if m is None else self.stem(m[1]) + self.stem(m[2])
-        self[word] = out
-        return out
-
-    def ids(self, text: str) -> bytes:
-        """All ids. str.split also splits at x1C-x1F, which the tokenizer keeps, so such texts go whole."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of the words into ``known``.
+
+        In Latin-1 lower case is letter by letter, as the tokenizer has it, and
+        it parts letters from marks. So most words are a stem, or a stem and marks.
+        """
+        parts, stems = [], set()
+        for word in words:
+            low = word.lower() if max(word) < "\u0100" else word
+            m = LETTERS_THEN_MARKS.fullmatch(low)
+            if m is None:
+                self.known[word] = self.encode(word)
+            else:
+                stems.add(m[1])
+                parts.append((word, m[1], m[2]))
+        fresh = sorted(s for s in stems if s not in self.known)
+        for first in range(0, len(fresh), TOGETHER):
+            some = fresh[first : first + TOGETHER]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
+            at = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
+            for i, stem in enumerate(some):
+                self.known[stem] = ids[at[i] : at[i + 1]]
+        for word, stem, marks in parts:
+            if marks and marks not in self.known:
+                self.known[marks] = self.encode(marks)
+            self.known[word] = self.known[stem] + (self.known[marks] if marks else b"")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text. str.split also splits at x1C-x1F, which the tokenizer keeps, so such texts go whole."""
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        words = [[] if o else t.split() for t, o in zip(texts, odd)]
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        self.learn(set().union(*words) - self.known.keys())
+        find = self.known.__getitem__
+        return [self.encode(t) if o else b"".join(map(find, w)) for t, w, o in zip(texts, words, odd)]
 
 
 def word_ids(path: str) -> WordIds:
     kept = persistent("word_ids")
     if getattr(kept, "path", None) != path:
-        kept.path, kept.cache = path, WordIds(path)
-    return kept.cache
+        kept.path, kept.words = path, WordIds(path)
+    return kept.words
 
 
 def piece_table(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, token count and a checksum of each piece of ``capacity`` ids (the last may be shorter)."""
 
     def run(batches):
-        cache = word_ids(tokenizer)
+        own = word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in sliced(batches, 4096):
-            cache.clear()
+        for batch in sliced(batches, 1000):
             counts, sums = [], []
-            for text in batch.column(1):
-                ids = cache.ids(text.as_py() or "") + end
+            for ids in own.ids([t or "" for t in batch.column(1).to_pylist()]):
+                ids += end
                 counts.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])
-            cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "sums"])
+        own.known.clear()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, doc_tokens long, sums array<long>")
 
