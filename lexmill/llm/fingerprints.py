@@ -16,6 +16,8 @@ from lexmill.llm.common import BROADCAST_ROWS, cut, join_checked
 
 K = 3
 WINDOW = 4
+#: Texts with fewer runs than this keep all of them: a window of one.
+SHORT = 32
 #: Rows of a bucket of neighbouring ids, on average.
 BUCKET_ROWS = 1500
 _LAST = (1 << 31) - 1
@@ -38,8 +40,9 @@ def packed(gram: Column, at: Column) -> Column:
 def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """array<bigint> of chosen (hash, position) pairs, packed, by position.
 
-    A text of fewer than ``k`` words has one hash, of all of them; of fewer
-    windows than one, the least of its hashes; without words, none.
+    A text of fewer than ``k`` words has one hash, of all of them; a short one
+    keeps all its hashes, which take in whatever a window would choose; without
+    words there are none.
     """
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
 
@@ -50,7 +53,7 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
     def choose(g):
         slid = F.transform(F.slice(g, F.lit(1), F.size(g) - (window - 1)), lambda x, i: F.least(x, *(g[i + j] for j in range(1, window))))
-        return F.when(F.size(g) < window, F.array(F.array_min(g))).otherwise(F.array_distinct(slid))
+        return F.when(F.size(g) < max(SHORT, window), g).otherwise(F.array_distinct(slid))
 
     none = F.array().cast("array<bigint>")
     return let(hashes(words(text)), lambda h: F.when(F.size(h) == 0, none).otherwise(let(grams(h), choose)))

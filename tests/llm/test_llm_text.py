@@ -150,8 +150,8 @@ def test_winnowing_guarantee(spark):
     r = random.Random(3)
     rows = []
     for i in range(60):
-        a, b = ([r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(40)] for _ in range(2))
-        at, to = r.randint(0, 30), r.randint(0, 30)
+        a, b = ([r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(50)] for _ in range(2))
+        at, to = r.randint(0, 40), r.randint(0, 40)
         n = fingerprints.K + fingerprints.WINDOW - 1
         b[to : to + n] = a[at : at + n]
         rows.append((" ".join(a), " ".join(b)))
@@ -164,7 +164,7 @@ def test_winnowing_guarantee(spark):
 
 
 def test_rightmost_of_ties(spark):
-    d = spark.createDataFrame([("x " * 20,)], "t string").select(fingerprints.winnow(F.col("t")).alias("f")).first()
+    d = spark.createDataFrame([("x " * 60,)], "t string").select(fingerprints.winnow(F.col("t")).alias("f")).first()
     assert [(1 << 31) - 1 - (p & ((1 << 31) - 1)) for p in d.f][0] == fingerprints.WINDOW - 1
 
 
