@@ -447,3 +447,57 @@ def vector_pearson_pairs(spark, sf):
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, round(len(list_filter(embedding, lambda x: abs(x) >= 0.2)) / len(embedding), 6) AS clipped FROM embeddings")
 def rms_and_clipping(spark, sf):
     return V.table(spark, sf, "embeddings").select("vec_id", F.round(rms(F.col("embedding")), 6).alias("rms"), F.round(clipped_share(F.col("embedding"), 0.2), 6).alias("clipped"))
+
+
+@query("SELECT hay_id, needle_id, start FROM (SELECT d.doc_id AS hay_id, b.item_id AS needle_id, list_min(list_filter(range(0, (length(hd) - length(hb)) // 4 + 1), lambda i: substr(hd, (i * 4 + 1)::BIGINT, length(hb)) = hb)) AS start FROM (SELECT doc_id, hex(encode(text)) AS hd FROM documents) d JOIN (SELECT item_id, hex(encode(text)) AS hb FROM benchmark) b ON contains(hd, hb)) WHERE start IS NOT NULL")
+def aligned_byte_containment(spark, sf):
+    """Byte containment at even places, as for 16-bit samples; texts stand in for sound."""
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    b = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    return overlap.aligned_containment(d, b)
+
+
+@query("SELECT lang, count(*) AS paired FROM documents GROUP BY lang")
+def paired_rows(spark, sf):
+    """Two result files row by row: by key, with the same text on both sides, or the job fails."""
+    d = V.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return overlap.paired(d, d.select("doc_id", "text"), "doc_id", ["text"]).groupBy("lang").agg(F.count("*").alias("paired"))
+
+
+@query("SELECT count(*) AS planted, count(*) FILTER (EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))) AS recovered FROM benchmark b WHERE length(b.text) >= 24")
+def positive_controls(spark, sf):
+    """Known items, and how many the search recovers."""
+    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    b = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text").where(F.length("text") >= 24)
+    found = overlap.containment(d, b).select(F.col("needle_id").alias("id")).distinct().withColumn("hit", F.lit(1))
+    return b.join(found, "id", "left").agg(F.count("*").alias("planted"), F.count("hit").alias("recovered"))
+
+
+@query("SELECT a.source, count(*) AS files, count(*) FILTER (a.sha = b.sha) AS identical, bool_and(a.sha = b.sha) AS all_identical FROM (SELECT source, doc_id, sha256(text) AS sha FROM documents) a JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 40 = 0 THEN text || '.' ELSE text END) AS sha FROM documents) b ON a.doc_id = b.doc_id GROUP BY a.source")
+def parent_child_release(spark, sf):
+    """A release against its parent: which files are the same, byte for byte."""
+    d = V.table(spark, sf, "documents")
+    parent = d.select("source", "doc_id", F.sha2("text", 256).alias("sha"))
+    child = d.select("doc_id", F.sha2(F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("child"))
+    same = F.col("sha") == F.col("child")
+    return parent.join(child, "doc_id").groupBy("source").agg(F.count("*").alias("files"), F.count_if(same).alias("identical"), F.bool_and(same).alias("all_identical"))
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS origin, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS with_extra FROM documents GROUP BY 1")
+def tagged_union(spark, sf):
+    """A bag union with a source tag; a column that only one side has is null for the other."""
+    from lexmill.operators.govern import union_all
+
+    d = V.table(spark, sf, "documents").select("doc_id")
+    both = union_all([d.where("doc_id % 2 = 0").withColumn("origin", F.lit("first")).withColumn("extra", F.lit(1)), d.where("doc_id % 2 <> 0").withColumn("origin", F.lit("second"))])
+    return both.groupBy("origin").agg(F.count("*").alias("n"), F.count("extra").alias("with_extra"))
+
+
+@query("SELECT source, count(*) FILTER (a AND b) AS common, count(*) FILTER (a AND NOT b) AS first_only, count(*) FILTER (b AND NOT a) AS second_only FROM (SELECT source, n_chars > 1000 AS a, lang = 'en' AS b FROM documents) GROUP BY source")
+def set_difference_counts(spark, sf):
+    """Intersection and differences of two id sets per source."""
+    d = V.table(spark, sf, "documents")
+    a, b = d.where("n_chars > 1000").select("source", "doc_id"), d.where("lang = 'en'").select("source", "doc_id")
+    tagged = a.intersect(b).withColumn("k", F.lit("common")).unionByName(a.exceptAll(b).withColumn("k", F.lit("first_only"))).unionByName(b.exceptAll(a).withColumn("k", F.lit("second_only")))
+    counts = tagged.groupBy("source").agg(*(F.count_if(F.col("k") == k).alias(k) for k in ("common", "first_only", "second_only")))
+    return d.select("source").distinct().join(counts, "source", "left").fillna(0)

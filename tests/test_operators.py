@@ -223,3 +223,18 @@ def test_streaming(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("window").collect()
     assert (got[0].utterances, got[0].errors, got[0].words) == (2, 1, 6)
+
+
+def test_paired_fails_closed(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, t string")
+    assert overlap.paired(a, a, "k", ["t"]).count() == 2
+    with pytest.raises(Exception, match="unpaired key 2"):
+        overlap.paired(a, a.where("k = 1"), "k", ["t"]).collect()
+    with pytest.raises(Exception, match="rows differ for key 1"):
+        overlap.paired(a, a.withColumn("t", F.lit("y")), "k", ["t"]).collect()
+
+
+def test_aligned_containment(spark):
+    hay = spark.createDataFrame([(1, bytearray(b"\x01" + bytes(range(1, 40)))), (2, bytearray(b"\x00\x00" + bytes(range(1, 40)))), (3, bytearray(100))], "id int, data binary")
+    needle = spark.createDataFrame([(7, bytearray(range(1, 25))), (8, bytearray(20)), (9, bytearray(b"ab"))], "id int, data binary")
+    assert [tuple(r) for r in overlap.aligned_containment(hay, needle).collect()] == [(2, 7, 1)]
