@@ -276,12 +276,15 @@ def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) ->
         tested = cut(compare(nearest.select("a", "b"), texts, words, percent).join(nearest, ["a", "b"]))
         counts = tested.agg(F.count("*").alias("all"), F.count_if("linked").alias("linked")).first()
         useful = 8 * counts["linked"] > counts["all"]
-        # The first comparison is a member's profile; a pivot differs from itself in nothing.
-        told = tested.select(F.col("b").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), (F.col("n_a") - F.col("common")).alias("_r"), (F.col("n_b") - F.col("common") - F.col("u")).alias("_s"))
-        centre = tested.select(F.col("a").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), F.lit(0).cast("long").alias("_r"), F.lit(0).cast("long").alias("_s")).distinct().join(told.select("node"), "node", "left_anti")
+        # The first comparison with a pivot that shares half of it is a member's profile; a pivot differs from itself in nothing.
+        close = tested.where(2 * F.col("common") >= F.greatest("n_a", "n_b"))
+        told = close.select(F.col("b").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), (F.col("n_a") - F.col("common")).alias("_r"), (F.col("n_b") - F.col("common") - F.col("u")).alias("_s"))
+        centre = close.select(F.col("a").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), F.lit(0).cast("long").alias("_r"), F.lit(0).cast("long").alias("_s")).distinct().join(told.select("node"), "node", "left_anti")
         known = parts.join(told.unionByName(centre), "node", "left")
         news = [F.when(F.col("p").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in PROFILE[2:]]
-        first = tested.join(parts.where("p is null").select(F.col("node").alias("b")), "b").select(F.explode("added").alias("e"), F.col("b").alias("node"), F.col("n_b").alias("n"), "u")
+        # Shingles that a member has beyond its pivot and the unique ones: with those it may meet others in cells of their own.
+        several = close.where(F.col("n_b") - F.col("common") > F.col("u"))
+        first = several.join(parts.where("p is null").select(F.col("node").alias("b")), "b").select(F.explode("added").alias("e"), F.col("b").alias("node"), F.col("n_b").alias("n"), "u")
         more = first.select(F.xxhash64(F.lit("added"), "e").alias("pivot"), "node", "n", "u", F.lit(True).alias("added"))
         shared = more.groupBy("pivot").agg(F.count("*").alias("_m")).where("_m > 1").select("pivot")
         cells = cells.unionByName(cut(more.join(shared, "pivot").select(*cells.columns)))
