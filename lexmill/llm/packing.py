@@ -25,8 +25,8 @@ GROUP_DOCS = 2048
 WORDS_KEPT = 500_000
 #: New words encoded in one call.
 TOGETHER = 2048
-#: Latin-1 letters, then perhaps marks: neither letters nor digits nor white space.
-LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Latin-1 letters, then marks: neither letters nor digits nor white space.
+LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 END_ID = 1
 
 
@@ -49,42 +49,59 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids of the words into ``known``.
+        """Put the ids of Latin-1 words in lower case into ``known``.
 
-        In Latin-1 lower case is letter by letter, as the tokenizer has it, and
-        it parts letters from marks. So most words are a stem, or a stem and marks.
+        The tokenizer parts letters from marks, so most words are a stem, or a
+        stem and marks.
         """
-        parts, stems = [], set()
-        for word in words:
-            low = word.lower() if max(word) < "\u0100" else word
-            m = LETTERS_THEN_MARKS.fullmatch(low)
+        known = self.known
+        stems = {w for w in words if w.isalpha()}
+        parts = []
+        for word in words - stems:
+            m = LETTERS_THEN_MARKS.fullmatch(word)
             if m is None:
-                self.known[word] = self.encode(word)
+                known[word] = self.encode(word)
             else:
-                stems.add(m[1])
-                parts.append((word, m[1], m[2]))
-        fresh = sorted(s for s in stems if s not in self.known)
+                parts.append((word, *m.groups()))
+        stems.update(stem for _, stem, _ in parts)
+        fresh = list(stems - known.keys())
         for first in range(0, len(fresh), TOGETHER):
             some = fresh[first : first + TOGETHER]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
-            at = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
-            for i, stem in enumerate(some):
-                self.known[stem] = ids[at[i] : at[i + 1]]
+            ids = np.array(got.ids, "<u4").tobytes()
+            at = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))).tolist()
+            known.update({stem: ids[i:j] for stem, i, j in zip(some, at, at[1:])})
         for word, stem, marks in parts:
-            if marks and marks not in self.known:
-                self.known[marks] = self.encode(marks)
-            self.known[word] = self.known[stem] + (self.known[marks] if marks else b"")
+            if marks not in known:
+                known[marks] = self.encode(marks)
+            known[word] = known[stem] + known[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text. str.split also splits at x1C-x1F, which the tokenizer keeps, so such texts go whole."""
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
+        """All ids of each text.
+
+        In Latin-1 lower case is letter by letter, as the tokenizer has it; of
+        other texts each new word is encoded alone. str.split also splits at
+        x1C-x1F, which the tokenizer keeps, so texts that hold those go whole.
+        """
+        plain, others, words = set(), set(), []
+        for text in texts:
+            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                words.append(None)
+                continue
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                words.append(text.split())
+                others.update(words[-1])
+            else:
+                words.append(text.lower().split())
+                plain.update(words[-1])
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        self.learn(set().union(*words) - self.known.keys())
+        self.learn(plain - self.known.keys())
+        self.known.update({w: self.encode(w) for w in others - self.known.keys()})
         find = self.known.__getitem__
-        return [self.encode(t) if o else b"".join(map(find, w)) for t, w, o in zip(texts, words, odd)]
+        return [self.encode(t) if w is None else b"".join(map(find, w)) for t, w in zip(texts, words)]
 
 
 def word_ids(path: str) -> WordIds:
