@@ -48,17 +48,24 @@ def covered(intervals: DataFrame, by: list[str], start: str = "start", stop: str
     return reached.groupBy(*by).agg(F.count("*").alias("pieces"), F.sum(fresh).alias("covered"))
 
 
-def running_total(rows: DataFrame, value: Column, rank: Column, partition: list[str] | None = None, prefix: int = 3) -> DataFrame:
-    """``rows`` with ``cum``: the total of ``value`` up to and with each row, in order of a hexadecimal ``rank``.
+def running_total(rows: DataFrame, value: Column, rank: Column, partition: list[str] | None = None, prefix: int = 3, bucket: Column | None = None) -> DataFrame:
+    """``rows`` with ``cum``: the total of ``value`` up to and with each row, in order of ``rank``.
 
-    The rank's first digits divide the order into buckets; bucket totals (a
-    few thousand rows at most) give each bucket its start. No task sees more
-    than a bucket, whatever the partition's size.
+    Buckets divide the order: the first digits of a hexadecimal rank, or
+    ``bucket``, which must not fall as the rank rises. Their totals give each
+    bucket its start. No task sees more than a bucket, whatever the partition's
+    size.
     """
     by = partition or []
-    kept = rows.withColumn("_rank", rank).withColumn("_value", value).withColumn("_bucket", F.substring("_rank", 1, prefix))
+    kept = rows.withColumn("_rank", rank).withColumn("_value", value).withColumn("_bucket", F.substring("_rank", 1, prefix) if bucket is None else bucket)
     sums = kept.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     return kept.join(starts, [*by, "_bucket"]).withColumn("cum", F.col("_start") + F.sum("_value").over(inside)).drop("_bucket", "_start")
+
+
+def numbered(rows: DataFrame, by: list[str], key: str, width: int = 4096) -> DataFrame:
+    """``rows`` with ``number``: 1, 2, ... within ``by``, in order of an integer key; a hot group is numbered by many tasks."""
+    out = running_total(rows, F.lit(1), F.col(key), by, bucket=F.floor(F.col(key) / width))
+    return out.withColumnRenamed("cum", "number").drop("_rank", "_value")

@@ -214,8 +214,8 @@ list_sum(list_transform(list_distinct(list_concat(d.w, b.w)), lambda x: least(le
 FROM pairs JOIN dw d ON d.id = source_id JOIN bw b ON b.id = target_id WHERE shared >= 5)""", _PAIRS)
 def bag_jaccard(spark, sf):
     d, b = _sides(spark, sf)
-    pairs = overlap.gram_candidates(d, b).where("shared >= 5").join(d.toDF("source_id", "wa"), "source_id").join(b.toDF("target_id", "wb"), "target_id")
-    return pairs.select("source_id", "target_id", F.round(overlap.bag_likeness(F.col("wa"), F.col("wb")), 6).alias("likeness"))
+    pairs = overlap.gram_candidates(d, b).where("shared >= 5")
+    return overlap.bag_likeness_pairs(pairs, d, b).withColumn("likeness", F.round("likeness", 6))
 
 
 @query("SELECT doc_id AS hay_id, item_id AS needle_id, (instr(d.text, b.text) - 1)::BIGINT AS position FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 24")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexmill.functions import text as T
 from lexmill.functions.stats import confirmed, signal_pair
 from lexmill.operators import govern, select, splits
+from lexmill.operators.curate import numbered
 from lexmill.operators.report import share
 from lexmill.plans import views as V
 from lexmill.plans.registry import query
@@ -57,9 +57,9 @@ def guard_no_pass(spark, sf):
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r = n // 2 + 1")
 def middle_row(spark, sf):
-    w = Window.partitionBy("source")
-    d = V.table(spark, sf, "documents").select("source", "doc_id", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return d.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("source", "doc_id")
+    d = numbered(V.table(spark, sf, "documents").select("source", "doc_id"), ["source"], "doc_id")
+    sizes = d.groupBy("source").agg(F.count("*").alias("n"))
+    return d.join(sizes, "source").where(F.col("number") == F.floor(F.col("n") / 2) + 1).select("source", "doc_id")
 
 
 _PART = "CAST(('0x' || substr(sha256(doc_id || chr(31) || text), {a}, 8)) AS BIGINT)"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.functions.edit import align, edit_counts
 from lexmill.functions.stats import hash_number, resample
 from lexmill.operators import report
+from lexmill.operators.curate import numbered
 from lexmill.plans import views as V
 from lexmill.plans.registry import query
 
@@ -166,7 +168,9 @@ totals AS (SELECT d.g, d.draw, {', '.join(f'sum({e})::BIGINT AS {n}' for n, e in
 def cluster_bootstrap_ci(spark, sf):
     """95 % interval of the error rate, sources drawn whole."""
     clusters = V.scored(spark, sf).groupBy("lang", "source").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"))
-    draws = resample(clusters, ["lang"], ["source"], ["errors", "words"], DRAWS, SEED).withColumn("wer", F.col("errors") / F.nullif(F.col("words"), F.lit(0)))
+    # Clusters are few: as many rows as there are sources and languages.
+    clusters = clusters.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")))
+    draws = resample(clusters, ["lang"], ["errors", "words"], DRAWS, SEED).withColumn("wer", F.col("errors") / F.nullif(F.col("words"), F.lit(0)))
     return draws.groupBy("lang").agg(F.round(F.percentile("wer", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("wer", F.lit(0.975)), 6).alias("high"))
 
 
@@ -178,7 +182,7 @@ def paired_bootstrap_delta(spark, sf):
     """Two systems over the same utterances: mean and 95 % interval of the difference of their rates."""
     better = F.when((F.col("errors") > 0) & (F.col("id") % 3 == 0), F.col("errors") - 1).otherwise(F.col("errors"))
     pairs = V.scored(spark, sf).select("lang", "id", F.col("errors").alias("a"), better.alias("b"), "words")
-    d = resample(pairs, ["lang"], ["id"], ["a", "b", "words"], PAIRED_DRAWS, SEED + 1)
+    d = resample(numbered(pairs, ["lang"], "id"), ["lang"], ["a", "b", "words"], PAIRED_DRAWS, SEED + 1)
     delta = (F.col("b") - F.col("a")) / F.nullif(F.col("words"), F.lit(0))
     return d.groupBy("lang").agg(F.round(F.avg(delta), 6).alias("delta"), F.round(F.percentile(delta, F.lit(0.025)), 6).alias("low"), F.round(F.percentile(delta, F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("b") >= F.col("a")).cast("int")), 6).alias("not_better"))
 

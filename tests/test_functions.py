@@ -107,7 +107,7 @@ def test_pearson_and_signals(spark):
 
 
 def test_resample_is_repeatable(spark):
-    units = spark.createDataFrame([("g", i, float(i)) for i in range(20)], "g string, o int, v double")
-    a = stats.resample(units, ["g"], ["o"], ["v"], 50, 3).orderBy("draw").collect()
-    b = stats.resample(units.repartition(7), ["g"], ["o"], ["v"], 50, 3).orderBy("draw").collect()
+    units = spark.createDataFrame([("g", i + 1, float(i)) for i in range(20)], "g string, number int, v double")
+    a = stats.resample(units, ["g"], ["v"], 50, 3).orderBy("draw").collect()
+    b = stats.resample(units.repartition(7), ["g"], ["v"], 50, 3).orderBy("draw").collect()
     assert a == b and len(a) == 50 and abs(np.mean([r.v for r in a]) - 190) < 25
