@@ -40,10 +40,18 @@ def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(packed).select(*key, *(F.col(f"_row.{c}").alias(c) for c in [*order, *rest])).select(*rows.columns)
 
 
-def covered(intervals: DataFrame, by: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """Length of the union of each group's half-open intervals; nested and touching ones count once."""
-    w = Window.partitionBy(*by).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
-    reached = intervals.withColumn("_reached", F.max(stop).over(w))
+def covered(intervals: DataFrame, by: list[str], start: str = "start", stop: str = "stop", width: float = 3600) -> DataFrame:
+    """Length of the union of each group's half-open intervals; nested and touching ones count once.
+
+    What earlier intervals reach is the larger of what earlier buckets of
+    ``width`` reach and what earlier intervals of the own bucket do, so a
+    hot group is merged by many tasks.
+    """
+    rows = intervals.withColumn("_bucket", F.floor(F.col(start) / width))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*by, "_bucket").agg(F.max(stop).alias("_far")).withColumn("_far", F.max("_far").over(before))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.join(reach, [*by, "_bucket"]).withColumn("_reached", F.greatest("_far", F.max(stop).over(inside)))
     fresh = F.greatest(F.lit(0), F.col(stop) - F.greatest(F.col(start), F.coalesce("_reached", F.col(start))))
     return reached.groupBy(*by).agg(F.count("*").alias("pieces"), F.sum(fresh).alias("covered"))
 

@@ -143,8 +143,8 @@ def metadata_parse(spark, sf):
 @query("SELECT conv_id, turn, conv_id || '!' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 3, '0') AS segment_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS ordinal FROM conversations")
 def segment_ordinals(spark, sf):
     """A segment's id counts from 1 before any filter; the ordinal is read back from it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    made = V.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("!"), F.lpad(F.row_number().over(w).cast("string"), 3, "0")).alias("segment_id"))
+    turns = curate.numbered(V.table(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id"], "turn")
+    made = turns.select("conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("!"), F.lpad(F.col("number").cast("string"), 3, "0")).alias("segment_id"))
     return made.withColumn("ordinal", F.substring_index("segment_id", "!", -1).cast("int"))
 
 

@@ -15,7 +15,8 @@ from lexmill.sources import readers, schema, sinks
 def test_interval_union(spark):
     rows = [("a", 0, 10), ("a", 5, 15), ("a", 20, 30), ("b", 0, 10), ("b", 2, 4), ("b", 10, 12), ("c", 3, 3)]
     d = spark.createDataFrame(rows, "k string, start int, stop int")
-    assert {r.k: r.covered for r in curate.covered(d, ["k"]).collect()} == {"a": 25, "b": 12, "c": 0}
+    for width in (3600, 4, 7):
+        assert {r.k: r.covered for r in curate.covered(d, ["k"], width=width).collect()} == {"a": 25, "b": 12, "c": 0}
 
 
 def test_cascade_and_flags(spark):
