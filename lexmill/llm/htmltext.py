@@ -270,6 +270,8 @@ def example(r: random.Random) -> str:
     def body_block():
         k = r.random()
         text = junk(para())
+        if k < 0.12:
+            return f"<p>{mark(phrase(1, 5).capitalize())}{r.choice(('.', '', '!'))}</p>"
         if k < 0.62:
             return f"<p>{mark(text)}</p>"
         if k < 0.7:
@@ -294,6 +296,8 @@ def example(r: random.Random) -> str:
             parts.append(body_block())
             if r.random() < 0.07:
                 parts.append(r.choice((advert, aside, form, notice))())
+        if r.random() < 0.08:
+            parts = parts[:1] + r.choices(parts, k=r.randint(6, 40))  # pages that repeat themselves
         if r.random() < 0.08:
             return f"<article>{''.join(parts[:1])}{mark(junk(para()))}</article>"
         k = r.random()
@@ -331,6 +335,8 @@ def trained(pages: int = 2000, steps: int = 500, batch: int = 48, seed: int = 3)
         y = np.zeros(x.shape[:2])
         for row, i in enumerate(chosen):
             y[row, : len(data[i][1])] = data[i][1]
+        # Half of the pages are learnt by structure alone, so that single words weigh little.
+        x[:, :, PATH_DIM : PATH_DIM + WORD_DIM] *= rng.random((len(x), 1, 1)) < 0.5
         rate = 0.01 * min(1.0, 2 * (1 - t / (steps + 1)))
         for k, g in net.gradient(x, y, lengths).items():
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
