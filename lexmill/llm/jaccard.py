@@ -270,24 +270,24 @@ def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) ->
         # Sets with few unique shingles are the likely centres; every other round any set may be one.
         rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("u")).otherwise(F.lit(0)), F.xxhash64("node", F.lit(turn)))
         centres = placed.groupBy("pivot").agg(F.min_by(F.struct(*(F.col(c).alias(f"{c}_a") for c in ("node", "part", *PROFILE))), rank).alias("c")).select("pivot", "c.*")
-        fits = (F.col("part") != F.col("part_a")) & may_link(profile(), profile("_a"), F.col("added"), percent)
+        # Members without a profile are compared too, even if they cannot link with this pivot: the profile rules out others.
+        fits = (F.col("part") != F.col("part_a")) & (F.col("p").isNull() | may_link(profile(), profile("_a"), F.col("added"), percent))
         shared = placed.join(centres, "pivot").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"), "u_a", "u").agg(F.count("*").alias("cells"))
         nearest = cut(shared.groupBy("b", "u").agg(F.max_by("a", F.struct("cells", -F.col("u_a"), "a")).alias("a")).select("a", "b", "u"))
         tested = cut(compare(nearest.select("a", "b"), texts, words, percent).join(nearest, ["a", "b"]))
-        counts = tested.agg(F.count("*").alias("all"), F.count_if("linked").alias("linked")).first()
-        useful = 8 * counts["linked"] > counts["all"]
         # The first comparison with a pivot that shares half of it is a member's profile; a pivot differs from itself in nothing.
         close = tested.where(2 * F.col("common") >= F.greatest("n_a", "n_b"))
+        fresh = close.join(parts.where("p is null").select(F.col("node").alias("b")), "b", "left_semi")
         told = close.select(F.col("b").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), (F.col("n_a") - F.col("common")).alias("_r"), (F.col("n_b") - F.col("common") - F.col("u")).alias("_s"))
         centre = close.select(F.col("a").alias("node"), F.col("a").alias("_p"), F.col("n_a").alias("_n_p"), F.lit(0).cast("long").alias("_r"), F.lit(0).cast("long").alias("_s")).distinct().join(told.select("node"), "node", "left_anti")
         known = parts.join(told.unionByName(centre), "node", "left")
         news = [F.when(F.col("p").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in PROFILE[2:]]
         # Shingles that a member has beyond its pivot and the unique ones: with those it may meet others in cells of their own.
-        several = close.where(F.col("n_b") - F.col("common") > F.col("u"))
-        first = several.join(parts.where("p is null").select(F.col("node").alias("b")), "b").select(F.explode("added").alias("e"), F.col("b").alias("node"), F.col("n_b").alias("n"), "u")
+        first = fresh.where(F.col("n_b") - F.col("common") > F.col("u")).select(F.explode("added").alias("e"), F.col("b").alias("node"), F.col("n_b").alias("n"), "u")
         more = first.select(F.xxhash64(F.lit("added"), "e").alias("pivot"), "node", "n", "u", F.lit(True).alias("added"))
         shared = more.groupBy("pivot").agg(F.count("*").alias("_m")).where("_m > 1").select("pivot")
         cells = cells.unionByName(cut(more.join(shared, "pivot").select(*cells.columns)))
+        useful = 8 * (tested.where("linked").count() + fresh.where("not linked").count()) > tested.count()
         parts = cut(merge(known.select("node", "part", *news), tested.where("linked").select("a", "b")))
         turn += 1
 
