@@ -263,9 +263,13 @@ def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) ->
         if not found["pairs"]:
             return parts
         if not useful or turn == ROUNDS or found["pairs"] <= max(FEW_PAIRS, found["members"]):
-            side = lambda c, x: placed.select("pivot", "added", F.col("node").alias(c), F.col("part").alias(f"part_{c}"), *(F.col(k).alias(f"{k}_{x}") for k in PROFILE))
+            # A pair is formed in the first cell that both are in (of either sort), not in every one.
+            mine = placed.groupBy("node", "added").agg(F.collect_list("pivot").alias("pivots"))
+            listed = placed.join(mine, ["node", "added"])
+            side = lambda c, x: listed.select("pivot", "added", F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("pivots").alias(f"pivots_{x}"), *(F.col(k).alias(f"{k}_{x}") for k in PROFILE))
             fits = (F.col("part_a") != F.col("part_b")) & (F.col("a") < F.col("b")) & may_link(profile("_x"), profile("_y"), F.col("added"), percent)
-            pairs = side("a", "x").join(side("b", "y").drop("added"), "pivot").where(fits).select("a", "b").distinct()
+            once = F.col("pivot") == F.array_min(F.array_intersect("pivots_x", "pivots_y"))
+            pairs = side("a", "x").join(side("b", "y").drop("added"), "pivot").where(fits & once).select("a", "b").distinct()
             return cut(merge(parts, cut(compare(cut(pairs), texts, words, percent).where("linked"))))
         # Sets with few unique shingles are the likely centres; every other round any set may be one.
         rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("u")).otherwise(F.lit(0)), F.xxhash64("node", F.lit(turn)))
