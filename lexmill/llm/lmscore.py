@@ -4,9 +4,11 @@ Two bigram models, of a target corpus and of the background, share one
 vocabulary, one smoothing rule and one scoring pass; a document's score is the
 mean per-token difference of its losses (low: like the target).
 
-The vocabulary is bounded: the commonest words of the whole corpus and a fixed
-number of hash classes for all others, so both models are exact count tables of
-a fixed size, whatever the input. Counts are gathered from every document.
+Every word is told apart by a 64-bit hash and every bigram has its own count, in
+a distributed table that grows with the corpus. A bigram's losses come from its
+counts and those of its two words. Documents meet the losses in a join by
+bigram; only the commonest bigrams, with a share of all of at least one part in
+``HOT``, are looked up in a broadcast table instead, so no key of the join is hot.
 """
 
 from __future__ import annotations
@@ -17,19 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import BROADCAST_ROWS, sliced
+from lexmill.llm.common import BROADCAST_ROWS, cut, drop_cut, join_checked, sliced
 
-#: Words with an entry of their own, hash classes for the rest, and the class of a text's edge.
+#: Words of ``vocabulary`` by default.
 WORDS = 1023
-CLASSES = 1024
-SIZE = WORDS + CLASSES + 1
-EDGE = SIZE - 1
-#: Rows of the count table in one block.
-BLOCK = 64
-#: Pairs held before they are folded into the table.
+#: Kinds of words that smoothing allows for at least; a larger vocabulary counts in full.
+SIZE = 2048
+#: The class of a text's edge.
+EDGE = K.U64(0x9E3779B97F4A7C15)
+#: Bigrams with at least this part of all occurrences are broadcast: there are at most so many.
+HOT = 1_000_000
+#: Entries held before they are summed in a task, and after which sums are passed on.
 FOLD = 4_000_000
-#: Tables kept sparse in a task's output are compressed at this level.
-LEVEL = 3
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -70,102 +71,81 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
-def entries(column: pa.Array, known: np.ndarray):
-    """(previous, next, first pair of each row): vocabulary entries of all bigrams, with an edge before and after each text."""
+def bigrams(column: pa.Array):
+    """(previous, next, key, first bigram of each row): hashes of all bigrams, with an edge before and after each text."""
     data, offsets = K.string_buffer(column)
     for first, last in K.chunks(offsets):
         own = offsets[first : last + 1]
         part = data[own[0] : own[-1]]
         starts, ends, firsts = K.words_of(part, own - own[0])
         h = K.word_hashes(part, starts, ends)
-        at = np.searchsorted(known, h)
-        if len(known):
-            own_entry = known[np.minimum(at, len(known) - 1)] == h
-        else:
-            own_entry = np.zeros(len(h), bool)
-        entry = np.where(own_entry, at, WORDS + (h % K.U64(CLASSES)).astype(np.int64))
         n = np.diff(firsts)
         begin = np.concatenate([[0], np.cumsum(n + 1)])
         before, after = np.full(begin[-1], EDGE), np.full(begin[-1], EDGE)
-        place = np.arange(len(entry)) + np.repeat(np.arange(last - first), n)
-        after[place], before[place + 1] = entry, entry
+        place = np.arange(len(h)) + np.repeat(np.arange(last - first), n)
+        after[place], before[place + 1] = h, h
         before[begin[:-1]] = EDGE
-        yield before, after, begin
+        yield before, after, pair_keys(before, after), begin
 
 
-def pair_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(background, target) count tables, SIZE x SIZE.
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64-bit keys of ordered pairs of hashes."""
+    x = before * K.U64(0xC2B2AE3D27D4EB4F) + (after ^ (after >> K.U64(29))) * K.U64(0x165667B19E3779F9)
+    x = (x ^ (x >> K.U64(32))) * K.U64(0xD6E8FEB86659FD93)
+    return x ^ (x >> K.U64(32))
 
-    Each task folds its documents into sparse blocks; blocks are summed by
-    their number, so the shuffle follows the input and the driver gets two
-    tables of fixed size.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known.tobytes())
 
-    def run(batches):
-        import zstandard
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(pair, a, b, n, t): every bigram of ``_text`` with its words' hashes, its count and that in rows with ``_target``; pre-summed in each task."""
 
-        own_known = np.frombuffer(shared.value, np.uint64)
-        table = np.zeros(2 * SIZE * SIZE, np.int64)
-        held, n = [], 0
+    def summed(held):
+        key, a, b, n, t = (np.concatenate(x) for x in zip(*held))
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        return key, a[at], b[at], np.bincount(back, n, len(key)).astype(np.int64), np.bincount(back, t, len(key)).astype(np.int64)
 
-        def fold():
-            nonlocal held, n
-            if held:
-                table[:] += np.bincount(np.concatenate(held), minlength=len(table))
-            held, n = [], 0
+    def rows(x):
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in x[:3]), pa.array(x[3]), pa.array(x[4])], ["pair", "a", "b", "n", "t"])
 
+    def run(batches):
+        held = []
         for batch in sliced(batches):
             target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             row = 0
-            for before, after, begin in entries(batch.column(0), own_known):
-                codes = before * SIZE + after
-                held.append(codes)
+            for before, after, key, begin in bigrams(batch.column(0)):
                 wanted = np.repeat(target[row : row + len(begin) - 1], np.diff(begin))
-                held.append(codes[wanted] + SIZE * SIZE)
                 row += len(begin) - 1
-                n += len(codes)
-                if n >= FOLD:
-                    fold()
-        fold()
-        squeeze = zstandard.ZstdCompressor(level=LEVEL)
-        part = table.reshape(2 * SIZE // BLOCK, BLOCK * SIZE)
-        for block in np.flatnonzero(part.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(block)]), pa.array([squeeze.compress(part[block].astype("<i8").tobytes())], pa.binary())], ["block", "counts"])
-
-    def total(batches):
-        import zstandard
-
-        sums: dict[int, np.ndarray] = {}
-        open_up = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(open_up.decompress(counts), "<i8")
-                sums[block] = sums[block] + more if block in sums else more
-        for block, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zstandard.ZstdCompressor(level=LEVEL).compress(x.tobytes())], pa.binary())], ["block", "counts"])
-
-    import zstandard
-
-    parts = docs.select("_text", "_target").mapInArrow(run, "block long, counts binary")
-    out = np.zeros((2 * SIZE // BLOCK, BLOCK * SIZE), np.int64)
-    for r in parts.repartition(2 * SIZE // BLOCK, "block").mapInArrow(total, "block long, counts binary").toLocalIterator():
-        out[r["block"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), "<i8")
-    background, target = out.reshape(2, SIZE, SIZE)
-    return background, target
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log p(next | previous) for all pairs: Witten-Bell mixed with add-one unigrams."""
-    unigram = (counts.sum(0) + 1.0) / (counts.sum() + counts.shape[0])
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    weight = np.where(total > 0, total / np.maximum(total + kinds, 1), 0.0)
-    p = weight * (counts / np.maximum(total, 1)) + (1 - weight) * unigram
-    return (-np.log(p)).astype(np.float32)
-
-
-def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
+                held.append(summed([(key, before, after, np.ones(len(key), np.int64), wanted.astype(np.int64))]))
+            if sum(len(x[0]) for x in held) >= FOLD // 4:
+                held = [summed(held)]
+                if len(held[0][0]) >= FOLD // 8:
+                    yield rows(held[0])
+                    held = []
+        if held:
+            yield rows(summed(held))
+
+    found = docs.select("_text", "_target").mapInArrow(run, "pair long, a long, b long, n long, t long")
+    return found.groupBy("pair").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """(pair, n, near, far): -log p(next | previous) of all bigrams in target and background: Witten-Bell mixed with add-one unigrams."""
+    has = (F.col("t") > 0).cast("long")
+    before = cut(pairs.groupBy("a").agg(F.sum("n").alias("from_n"), F.count("*").alias("kinds_n"), F.sum("t").alias("from_t"), F.sum(has).alias("kinds_t")))
+    after = cut(pairs.groupBy("b").agg(F.sum("n").alias("to_n"), F.sum("t").alias("to_t")))
+    every = after.agg(F.count("*").alias("words"), F.coalesce(F.sum("to_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("to_t"), F.lit(0)).alias("t")).first()
+    known = max(SIZE, every["words"])
+    rows = join_checked(join_checked(pairs, after, "b", "inner", every["words"]), before, "a", "inner")
+
+    def loss(c: str):
+        total, kinds = F.col(f"from_{c}"), F.col(f"kinds_{c}")
+        unigram = (F.col(f"to_{c}") + 1.0) / F.lit(float(every[c] + known))
+        # Of the weight of the bigrams, total / (total + kinds), the bigram has count / total.
+        return -F.log(F.when(total > 0, (F.col(c) + kinds * unigram) / (total + kinds)).otherwise(unigram))
+
+    return rows.select("pair", "n", loss("t").alias("near"), loss("n").alias("far"))
+
+
+def score(documents: DataFrame, target_ids: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every document.
 
     ``target_ids`` (doc_id) names the target corpus; the background is all
@@ -178,26 +158,56 @@ def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.col("text").cast("string").alias("_text"))
     small = ids.count() <= BROADCAST_ROWS
     marked = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left").select("_text", F.coalesce("_in", F.lit(False)).alias("_target"))
-    known = vocabulary(rows)
-    background, target = pair_counts(marked, known)
-    tables = spark.sparkContext.broadcast((known.tobytes(), losses(target).tobytes(), losses(background).tobytes()))
+    pairs = cut(pair_counts(marked))
+    losses = cut(pair_losses(pairs))
+    drop_cut(pairs)
+    least = (losses.agg(F.sum("n")).first()[0] or 0) / hot
+    common = losses.where(F.col("n") >= F.lit(least)).select("pair", "near", "far").toArrow()
+    key, near, far = (common.column(c).to_numpy() for c in ("pair", "near", "far"))
+    key = key.astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    tables = spark.sparkContext.broadcast(tuple(x[order].tobytes() for x in (key, near.astype(float), far.astype(float))))
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         raw = tables.value
-        own_known = np.frombuffer(raw[0], np.uint64)
-        near, far = (np.frombuffer(x, np.float32) for x in raw[1:])
+        key = np.frombuffer(raw[0], np.uint64)
+        near, far = (np.append(np.frombuffer(x, float), 0.0) for x in raw[1:])
+        names = ["_row", "_pair", "_n", "doc_id", "n_tokens", "_near", "_far"]
         for batch in sliced(batches):
-            n, a, b = [], [], []
-            for before, after, begin in entries(batch.column(1), own_known):
-                codes = before * SIZE + after
-                n.append(np.diff(begin))
-                a.append(np.add.reduceat(near[codes].astype(float), begin[:-1]))
-                b.append(np.add.reduceat(far[codes].astype(float), begin[:-1]))
-            if not n:
-                continue
-            n, a, b = (np.concatenate(x) for x in (n, a, b))
-            arrays = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(a / n), pa.array(b / n), pa.array((a - b) / n)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+            ids, at = batch.column(0), batch.column(1).to_numpy()
+            row = 0
+            for _, _, own, begin in bigrams(batch.column(2)):
+                docs = len(begin) - 1
+                found = np.searchsorted(key, own)
+                found[found == len(key)] = 0
+                known = key[found] == own if len(key) else np.zeros(len(own), bool)
+                found = np.where(known, found, len(key))
+                number = np.arange(row, row + docs)
+                # A row of its own for each document, with a key that meets no bigram or counts none.
+                whole = [
+                    pa.array(at[number]), pa.array(pair_keys(at[number].astype(np.uint64), np.full(docs, EDGE)).view(np.int64)), pa.array(np.zeros(docs, np.int64)), ids.slice(row, docs),
+                    pa.array(np.diff(begin).astype(np.int64)), pa.array(np.add.reduceat(near[found], begin[:-1])), pa.array(np.add.reduceat(far[found], begin[:-1])),
+                ]
+                yield pa.RecordBatch.from_arrays(whole, names)
+                rare = np.flatnonzero(~known)
+                if len(rare):
+                    of, rest = np.repeat(number, np.diff(begin))[rare], own[rare]
+                    order = np.lexsort((rest, of))
+                    of, rest = of[order], rest[order]
+                    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (rest[1:] != rest[:-1])]))
+                    n = np.diff(np.append(first, len(of)))
+                    none = lambda kind: pa.nulls(len(first), kind)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at[of[first]]), pa.array(rest[first].view(np.int64)), pa.array(n.astype(np.int64)), none(ids.type), none(pa.int64()), none(pa.float64()), none(pa.float64())], names
+                    )
+                row += docs
+
+    parts = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), "_text").mapInArrow(run, f"_row long, _pair long, _n long, doc_id {kind}, n_tokens long, _near double, _far double")
+    rest = losses.where(F.col("n") < F.lit(least)).select(F.col("pair").alias("_pair"), "near", "far")
+    met = parts.join(rest, "_pair", "left").select(
+        "_row", "doc_id", "n_tokens", F.coalesce("_near", F.col("_n") * F.col("near")).alias("_near"), F.coalesce("_far", F.col("_n") * F.col("far")).alias("_far")
+    )
+    sums = met.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("_near").alias("_near"), F.sum("_far").alias("_far"))
+    n = F.col("n_tokens")
+    return sums.select("doc_id", "n_tokens", (F.col("_near") / n).alias("target_loss"), (F.col("_far") / n).alias("background_loss"), ((F.col("_near") - F.col("_far")) / n).alias("score"))
