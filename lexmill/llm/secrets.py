@@ -3,14 +3,21 @@
 A candidate string near a sensitive word is compressed with a dictionary of
 identifiers and code, primed further by the text around it. Known identifiers
 and words cost few bytes; keys and tokens do not compress. Candidates whose
-marginal bytes per character reach the limit are reported beside the patterns'
-matches, which are always kept.
+marginal bytes per character reach the limit, or nearly those of random text of
+their length and alphabet, are reported beside the patterns' matches, which are
+always kept.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
+import random
 import re
+import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +38,14 @@ REACH = 64
 AROUND = 512
 #: Marginal bytes per character from which a candidate is incompressible.
 LIMIT = 0.85
+#: The part of the bytes of random text of one's length and alphabet from which a candidate is incompressible: long strings get less than a byte a character.
+RANDOM_PART = 0.92
+#: Alphabets of keys, small ones first.
+ALPHABETS = tuple(map(frozenset, (string.digits + "ABCDEF", string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + "234567", string.digits + string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_letters)))
+#: What lies between the lines of one key: a line break, real or escaped, and quotes or signs that join strings.
+JOINT = re.compile(r"""(?:["'+,\s]|\\[nrt])*(?:\n|\\n)(?:["'+,\s]|\\[nrt])*""")
+#: The short last line of a key in PEM form.
+LAST_LINE = re.compile(r"""(?:["'+,\s]|\\[nrt]){0,64}(?:\n|\\n)(?:["'+,\s]|\\[nrt]){0,64}([A-Za-z0-9+/]{1,19}={0,2})(?=(?:["'+,\s]|\\[nrt]){1,64}-----END)""")
 #: Words, identifiers and code that need no bytes of their own.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 username user_name password passwd secret token api_key apikey "
@@ -62,6 +77,26 @@ class Novelty:
         primer = self.identifiers + b" " + after.encode("utf-8", "replace") + b" " + before.encode("utf-8", "replace")
         return max(0, self.size(primer, text.encode()) - self.size(primer, b" ")) / len(text)
 
+    @functools.lru_cache(4096)
+    def random_size(self, alphabet: str, length: int) -> int:
+        """Marginal bytes of random text."""
+        text = "".join(random.Random(length).choices(alphabet, k=length))
+        primer = self.identifiers + b" "
+        return self.size(primer, text.encode()) - self.size(primer, b" ")
+
+    def incompressible(self, before: str, text: str, after: str, limit: float = LIMIT) -> bool:
+        """Whether ``text`` costs ``limit`` bytes a character, or nearly what random text of its length and alphabet does."""
+        cost = self.per_char(before, text, after)
+        if cost >= limit:
+            return True
+        used = set(text)
+        alphabet = next((a for a in ALPHABETS if used <= a), ALPHABETS[-1] | used)
+        part = limit / LIMIT * RANDOM_PART
+        # No code takes random text below its entropy.
+        if cost < part * math.log2(len(alphabet)) / 8:
+            return False
+        return cost * len(text) >= part * self.random_size("".join(sorted(alphabet)), len(text))
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns' matches, in order."""
@@ -76,28 +111,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, limit: float = LIMIT) -> list[tuple[int, int, int]]:
-    """Incompressible candidates shortly after a sensitive word, outside what is taken."""
+    """Incompressible candidates shortly after a sensitive word, or on the line after one of the same key, outside what is taken."""
     words = [m.end() for m in SENSITIVE.finditer(text)]
     out = []
     if not words:
         return out
-    busy = [(s, e) for s, _, e in taken]
-    seen = -1
-    for end in words:
-        stop = end + REACH
-        for m in CANDIDATE.finditer(text, max(end, seen), min(len(text), stop + 4096)):
-            if m.start() > stop:
+    busy = sorted((s, e) for s, _, e in taken)
+    starts, ends = [s for s, _ in busy], list(accumulate((e for _, e in busy), max))
+    is_taken = lambda s, e: (i := bisect_left(starts, e)) > 0 and ends[i - 1] > s
+    word, stop, joint = 0, -1, -1
+    for m in CANDIDATE.finditer(text):
+        first, e = m.span()
+        if text.startswith("\\n", first - 1) and first:
+            first += 1
+        # The last sensitive word before the candidate reaches furthest; one inside it leaves its rest.
+        while word < len(words) and words[word] <= first:
+            stop = words[word] + REACH
+            word += 1
+        s = first
+        follows = joint >= 0 and first - joint <= REACH and JOINT.fullmatch(text, joint, first)
+        joint = -1
+        if first > stop and not follows:
+            if word == len(words):
+                # Only the line after a key could still count, and this was not one.
                 break
-            seen = max(seen, m.end())
-            s, e = m.span()
-            value = m[0]
-            kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-            if kinds < 2 or not re.search("[0-9]", value) or any(a < e and s < b for a, b in busy):
+            if words[word] > e - 20:
                 continue
-            if novelty.per_char(text[max(0, s - AROUND) : s], value, text[e : e + AROUND]) >= limit:
-                out.append((s, 3, e))
-                busy.append((s, e))
-    return sorted(set(out))
+            s = words[word]
+        value = text[s:e]
+        if is_taken(s, e):
+            joint = e
+            continue
+        kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        if kinds < 2 or not re.search("[0-9]", value):
+            continue
+        if novelty.incompressible(text[max(0, s - AROUND) : s], value, text[e : e + AROUND], limit):
+            out.append((s, 3, e))
+            joint = e
+            last = LAST_LINE.match(text, e)
+            if last and not is_taken(*last.span(1)):
+                out.append((last.start(1), 3, last.end(1)))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
