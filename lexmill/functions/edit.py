@@ -10,6 +10,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 #: Code points that stand for words start here: a private plane with room for 65,000 different words in a pair.
 _FIRST = 0xF0000
+#: Words from which a pair is aligned by itself.
+LONG = 48
 
 
 def let(value: Column, body) -> Column:
@@ -32,10 +34,16 @@ def edit_distance(reference: Column, hypothesis: Column) -> Column:
 def count_edits(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
     """(cost, substitutions, deletions, insertions) of each pair; of equal costs a substitution goes before a deletion before an insertion.
 
-    All pairs advance together: one step of numpy per cell of the largest table.
+    Short pairs advance together: one step of numpy per cell of the largest
+    table. Of long ones each is aligned by itself, one step per row.
     """
     out = np.zeros((len(pairs), 4), np.int64)
-    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    long = [i for i, (a, b) in enumerate(pairs) if max(len(a), len(b)) > LONG]
+    for i in long:
+        path = path_of(*pairs[i])
+        s, d, n = (path.count(op) for op in "SDI")
+        out[i] = s + d + n, s, d, n
+    order = sorted(set(range(len(pairs))) - set(long), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
     for first in range(0, len(order), 512):
         rows = order[first : first + 512]
         n, m = max(len(pairs[i][0]) for i in rows), max(len(pairs[i][1]) for i in rows)
@@ -76,30 +84,47 @@ def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(count_edits(pairs), columns=["cost", "substitutions", "deletions", "insertions"])
 
 
-def alignment(reference: list[str], hypothesis: list[str]) -> list[tuple[str, str, str]]:
-    """(op, reference word, hypothesis word) from first to last; op is C, S, D or I."""
-    n, m = len(reference), len(hypothesis)
-    cost = np.zeros((n + 1, m + 1), np.int64)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    for i, word in enumerate(reference):
-        differs = np.array([word != h for h in hypothesis], np.int64)
-        reach = np.minimum(cost[i, :-1] + differs, cost[i, 1:] + 1)
+def path_of(reference: list[str], hypothesis: list[str]) -> str:
+    """The preferred alignment from first to last, one letter each: C, S, D or I.
+
+    A row of the table is one step of numpy; of each cell two bits are kept, so
+    texts of 20,000 words take 100 MB.
+    """
+    code: dict[str, int] = {}
+    a, b = (np.array([code.setdefault(w, len(code)) for w in x], np.int64) for x in (reference, hypothesis))
+    n, m = len(a), len(b)
+    places = np.arange(1, m + 1)
+    line = np.arange(m + 1)
+    straight, down = [], []
+    for i in range(n):
+        direct, above = line[:-1] + (b != a[i]), line[1:] + 1
         # Insertions along the row: the least of (value - place) so far, plus the place.
-        cost[i + 1, 1:] = np.minimum.accumulate(np.concatenate([[i + 1], reach - np.arange(1, m + 1)]))[1:] + np.arange(1, m + 1)
-    path, at = [], (n, m)
-    while at != (0, 0):
-        i, j = at
-        same = i > 0 and j > 0 and reference[i - 1] == hypothesis[j - 1]
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (not same):
-            path.append(("C" if same else "S", reference[i - 1], hypothesis[j - 1]))
-            at = (i - 1, j - 1)
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            path.append(("D", reference[i - 1], ""))
-            at = (i - 1, j)
+        line = np.concatenate([[i + 1], np.minimum(direct, above) - places])
+        line[1:] = np.minimum.accumulate(line)[1:] + places
+        straight.append(np.packbits(line[1:] == direct))
+        down.append(np.packbits(line[1:] == above))
+    path, i, j = [], n, m
+    while i or j:
+        byte, bit = (j - 1) >> 3, 7 - ((j - 1) & 7)
+        if i and j and straight[i - 1][byte] >> bit & 1:
+            i, j = i - 1, j - 1
+            path.append("C" if a[i] == b[j] else "S")
+        elif i and (not j or down[i - 1][byte] >> bit & 1):
+            i -= 1
+            path.append("D")
         else:
-            path.append(("I", "", hypothesis[j - 1]))
-            at = (i, j - 1)
-    return path[::-1]
+            j -= 1
+            path.append("I")
+    return "".join(reversed(path))
+
+
+def alignment(reference: list[str], hypothesis: list[str]) -> list[tuple[str, str, str]]:
+    """(op, reference word, hypothesis word) from first to last; op is C, S, D or I."""
+    out, i, j = [], 0, 0
+    for op in path_of(reference, hypothesis):
+        out.append((op, "" if op == "I" else reference[i], "" if op == "D" else hypothesis[j]))
+        i, j = i + (op != "I"), j + (op != "D")
+    return out
 
 
 @F.pandas_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("op", "ref", "hyp")])))
