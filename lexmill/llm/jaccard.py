@@ -250,11 +250,25 @@ def open_members(cells: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return placed.join(kinds, (F.col("pivot") == F.col("pivot_k")) & other & may_link(profile(), profile("_k"), F.col("added"), percent), "left_semi")
 
 
+def with_added(cells: DataFrame, held: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cells`` with the cells that the entries in ``more`` (pivot, node, n, u, added) make with each other and with ``held``, those of earlier rounds; and all entries so far.
+
+    Members profiled in different rounds meet here too: a cell that gets a new
+    entry is made anew from all its entries, also those that had left it.
+    """
+    more = cut(more)
+    held = more if held is None else held.unionByName(more)
+    fresh = more.select("pivot").distinct()
+    shared = held.join(fresh, "pivot", "left_semi").groupBy("pivot").agg(F.count("*").alias("_m")).where("_m > 1").select("pivot")
+    again = cut(held.join(shared, "pivot").select(*cells.columns))
+    return cells.join(again.select("pivot").distinct(), "pivot", "left_anti").select(*cells.columns).unionByName(again), held
+
+
 def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, part) of every node in a cell: the components of the links between them."""
     cells = cells.withColumn("added", F.lit(False))
     parts = cut(cells.select("node").distinct().select("node", F.col("node").alias("part"), *(F.lit(None).cast("long").alias(c) for c in PROFILE[2:])))
-    turn, useful = 0, True
+    turn, useful, held = 0, True, None
     while True:
         placed = cut(open_members(cells, parts, percent))
         cells = placed.select(*cells.columns)
@@ -289,8 +303,7 @@ def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) ->
         # Shingles that a member has beyond its pivot and the unique ones: with those it may meet others in cells of their own.
         first = fresh.where(F.col("n_b") - F.col("common") > F.col("u")).select(F.explode("added").alias("e"), F.col("b").alias("node"), F.col("n_b").alias("n"), "u")
         more = first.select(F.xxhash64(F.lit("added"), "e").alias("pivot"), "node", "n", "u", F.lit(True).alias("added"))
-        shared = more.groupBy("pivot").agg(F.count("*").alias("_m")).where("_m > 1").select("pivot")
-        cells = cells.unionByName(cut(more.join(shared, "pivot").select(*cells.columns)))
+        cells, held = with_added(cells, held, more)
         useful = 8 * (tested.where("linked").count() + fresh.where("not linked").count()) > tested.count()
         parts = cut(merge(known.select("node", "part", *news), tested.where("linked").select("a", "b")))
         turn += 1
