@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: Code points that stand for words start here: a private plane with room for 65,000 different words in a pair.
 _FIRST = 0xF0000
@@ -25,59 +25,78 @@ def edit_distance(reference: Column, hypothesis: Column) -> Column:
     character distance is then the word distance.
     """
 
-    def coded(words, known):
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(known, w) + _FIRST).cast("long")), 8, "0")), "UTF-32")), "")
+    def distance(known, letter):
+        spelled = lambda words: F.array_join(F.transform(words, lambda w: letter(F.array_position(known, w))), "")
+        return F.levenshtein(spelled(reference), spelled(hypothesis))
 
-    return let(F.array_union(reference, hypothesis), lambda known: F.levenshtein(coded(reference, known), coded(hypothesis, known))).cast("long")
+    def chosen(known):
+        wide = distance(known, lambda place: F.decode(F.unhex(F.lpad(F.hex((place + _FIRST).cast("long")), 8, "0")), "UTF-32"))
+        # The cheap one-byte characters reach as far as 255 different words; longer pairs take the private plane.
+        return F.when(F.size(known) < 256, distance(known, F.chr)).otherwise(wide)
 
+    return let(F.array_union(reference, hypothesis), chosen).cast("long")
 
-def count_edits(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
-    """(cost, substitutions, deletions, insertions) of each pair; of equal costs a substitution goes before a deletion before an insertion.
 
-    Short pairs advance together: one step of numpy per cell of the largest
-    table. Of long ones each is aligned by itself, one step per row.
+def paths(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
+    """The preferred alignment of each pair, as ``path_of`` has it.
+
+    Short pairs of like size advance together, a row of all their tables at a
+    time, and their paths are read back together; long ones go one by one.
     """
-    out = np.zeros((len(pairs), 4), np.int64)
-    long = [i for i, (a, b) in enumerate(pairs) if max(len(a), len(b)) > LONG]
-    for i in long:
-        path = path_of(*pairs[i])
-        s, d, n = (path.count(op) for op in "SDI")
-        out[i] = s + d + n, s, d, n
-    order = sorted(set(range(len(pairs))) - set(long), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
-    for first in range(0, len(order), 512):
-        rows = order[first : first + 512]
-        n, m = max(len(pairs[i][0]) for i in rows), max(len(pairs[i][1]) for i in rows)
-        code: dict[str, int] = {}
-        a, b = np.full((len(rows), n), -1), np.full((len(rows), m), -2)
-        for r, i in enumerate(rows):
-            a[r, : len(pairs[i][0])] = [code.setdefault(w, len(code)) for w in pairs[i][0]]
-            b[r, : len(pairs[i][1])] = [code.setdefault(w, len(code)) for w in pairs[i][1]]
-        lengths = np.array([(len(pairs[i][0]), len(pairs[i][1])) for i in rows])
-        # A cell holds cost, substitutions, deletions and insertions in one number each, 20 bits apart from the top.
-        line = np.zeros((m + 1, len(rows), 4), np.int64)
-        line[:, :, 0] = line[:, :, 3] = np.arange(m + 1)[:, None]
-        keep = lambda i: np.flatnonzero(lengths[:, 0] == i)
-        for r in keep(0):
-            out[rows[r]] = line[lengths[r, 1], r]
-        for i in range(1, n + 1):
-            above, line = line, np.zeros_like(line)
-            line[0, :, 0] = line[0, :, 2] = i
-            for j in range(1, m + 1):
-                differs = (a[:, i - 1] != b[:, j - 1]).astype(np.int64)
-                diagonal, up, left = above[j - 1], above[j], line[j - 1]
-                costs = np.stack([diagonal[:, 0] + differs, up[:, 0] + 1, left[:, 0] + 1])
-                best = costs.argmin(0)
-                cell = np.choose(best[:, None], [diagonal, up, left]).copy()
-                cell[:, 0] = costs.min(0)
-                cell[:, 1] += (best == 0) * differs
-                cell[:, 2] += best == 1
-                cell[:, 3] += best == 2
-                line[j] = cell
-            for r in keep(i):
-                out[rows[r]] = line[lengths[r, 1], r]
+    out = [""] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (max(map(len, pairs[i])), len(pairs[i][0])))
+    first = 0
+    while first < len(order):
+        size = max(map(len, pairs[order[first]]))
+        if size > LONG:
+            out[order[first]] = path_of(*pairs[order[first]])
+            first += 1
+            continue
+        last = first + 1
+        while last < len(order) and last - first < 1024 and max(map(len, pairs[order[last]])) <= min(LONG, size + 8):
+            last += 1
+        for i, path in zip(order[first:last], _paths_together([pairs[i] for i in order[first:last]])):
+            out[i] = path
+        first = last
     return out
 
 
+def _paths_together(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
+    rows = np.arange(len(pairs))
+    n, m = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    code: dict[str, int] = {}
+    a, b = np.full((len(pairs), n.max() + 1), -1), np.full((len(pairs), m.max() + 1), -2)
+    for r, (x, y) in enumerate(pairs):
+        a[r, : len(x)] = [code.setdefault(w, len(code)) for w in x]
+        b[r, : len(y)] = [code.setdefault(w, len(code)) for w in y]
+    wide = m.max()
+    places = np.arange(wide + 1)
+    line = np.tile(places, (len(pairs), 1))
+    # The step that leads to each cell: 0 diagonal, 1 down, 2 along the row.
+    step = np.full((n.max() + 1, len(pairs), wide + 1), 2, np.int8)
+    step[1:, :, 0] = 1
+    for i in range(n.max()):
+        direct, above = line[:, :-1] + (b[:, :wide] != a[:, i : i + 1]), line[:, 1:] + 1
+        start = np.concatenate([np.full((len(pairs), 1), i + 1), np.minimum(direct, above) - places[1:]], axis=1)
+        line = np.minimum.accumulate(start, axis=1) + places
+        step[i + 1, :, 1:] = np.where(line[:, 1:] == direct, 0, np.where(line[:, 1:] == above, 1, 2))
+    i, j, letters = n.copy(), m.copy(), []
+    while (going := (i > 0) | (j > 0)).any():
+        s = step[i, rows, j]
+        same = a[rows, np.maximum(i - 1, 0)] == b[rows, np.maximum(j - 1, 0)]
+        letters.append(np.where(going, np.where(s == 0, np.where(same, ord("C"), ord("S")), np.where(s == 1, ord("D"), ord("I"))), ord(" ")).astype(np.uint8))
+        i, j = i - (going & (s < 2)), j - (going & (s != 1))
+    if not letters:
+        return [""] * len(pairs)
+    return [bytes(x).decode().strip() for x in np.stack(letters[::-1], axis=1)]
+
+
+def count_edits(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
+    """(cost, substitutions, deletions, insertions) of each pair; of equal costs a substitution goes before a deletion before an insertion."""
+    each = np.array([[path.count(op) for op in "SDI"] for path in paths(pairs)], np.int64).reshape(-1, 3)
+    return np.column_stack([each.sum(1), each])
+
+
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in ("cost", "substitutions", "deletions", "insertions")]))
 def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     pairs = [(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, hypothesis)]
@@ -127,6 +146,21 @@ def alignment(reference: list[str], hypothesis: list[str]) -> list[tuple[str, st
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("op", "ref", "hyp")])))
-def align(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series([[{"op": o, "ref": r, "hyp": h} for o, r, h in alignment(list(a) if a is not None else [], list(b) if b is not None else [])] for a, b in zip(reference, hypothesis)])
+@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("ref", "hyp")]))
+def aligned_places(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """For each step of the preferred alignment the place of its reference word and of its hypothesis word, -1 for none."""
+    found = [np.frombuffer(p.encode(), np.uint8) for p in paths([(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, hypothesis)])]
+    place = lambda has: np.where(has, np.cumsum(has) - 1, -1).astype(np.int32)
+    return pd.DataFrame({"ref": [place(p != ord("I")) for p in found], "hyp": [place(p != ord("D")) for p in found]})
+
+
+def align(reference: str, hypothesis: str):
+    """array<struct<op,ref,hyp>> from first to last, of two columns by name; op is C, S, D or I. Python gives places alone, the words are put beside them in the JVM."""
+    a, b = F.col(reference), F.col(hypothesis)
+
+    def step(i, j):
+        x, y = F.when(i < 0, "").otherwise(F.get(a, F.greatest(i, F.lit(0)))), F.when(j < 0, "").otherwise(F.get(b, F.greatest(j, F.lit(0))))
+        op = F.when(i < 0, "I").when(j < 0, "D").when(x == y, "C").otherwise("S")
+        return F.struct(op.alias("op"), x.alias("ref"), y.alias("hyp"))
+
+    return let(aligned_places(a, b), lambda p: F.zip_with(p["ref"], p["hyp"], step))

@@ -33,14 +33,14 @@ UNKNOWN_POLICIES = {
     "release": r"(?i)\[unk\]",
     "ablation": r"(?i)(\[unk\]|<unk>)",
     "language_model": r"(?i)\[(unk|unknown)\]",
-    "language_model_loose": r"(?i)\[?(unk|unknown)\]?",
+    "language_model_loose": r"(?i)(\[|<)?(unk|unknown)(\]|>)?",
     "preparation": r"(?i)(\[unk\]|IGNORE_TIME_SEGMENT_IN_SCORING)",
 }
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.regexp_replace(F.lower(text), MARKS, ""), FOLD_FROM, FOLD_TO)
+    """Lower case without accents; a text of ASCII alone has none."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(F.lower(text), MARKS, ""), FOLD_FROM, FOLD_TO)).otherwise(F.lower(text))
 
 
 def squeeze(text: Column) -> Column:
@@ -80,12 +80,28 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
+def score_words(text: Column) -> Column:
+    """``tokens`` of ``norm_score`` in one pass."""
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}']+"), "")
+
+
+def audit_words(text: Column) -> Column:
+    """``tokens`` of ``norm_audit`` in one pass."""
+    return F.array_remove(F.split(F.replace(fold(text), F.lit("ß"), F.lit("ss")), r"[\p{P}\p{S}\s]+"), "")
+
+
 def word_grams(words: Column, n: int) -> Column:
     """Distinct n-word runs; a shorter text is one run of all its words; without words there are none."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
 
+def gram_hashes(words: Column, n: int, distinct: bool = True) -> Column:
+    """64-bit hashes of the n-word runs that ``word_grams`` spells out; with ``distinct`` off, one for each occurrence."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs) if distinct else runs)
+
+
 def stable_rank(seed: int | str, *values: Column) -> Column:
     """A rank that does not depend on order or placement: the hexadecimal digest of seed and values."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(v.cast("string") for v in values)), 256)
@@ -99,6 +115,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
 
 
+def resolved(path: Column) -> Column:
+    """A path without empty, '.' and '..' steps; it stays absolute or relative, and never climbs above its start."""
+    none = F.array().cast("array<string>")
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
+
+
+def hash_name(value: Column, suffix: str = "") -> Column:
+    """The first 20 hexadecimal digits of the value's SHA-256, and a suffix."""
+    return F.concat(F.substring(F.sha2(value.cast("string"), 256), 1, 20), F.lit(suffix))
+
+
 def plain_cell(text: Column) -> Column:
     """A Markdown table cell without links, code marks, emphasis and line breaks."""
     out = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
@@ -121,7 +149,7 @@ CALLSIGNS = "speedbird lufthansa swiss easy ryanair wizz klm airfrance air franc
 
 def word_class(word: Column) -> Column:
     out = F.when(word.isin(NUMBER_TERMS) | word.rlike(r"^\p{Nd}+$"), "number_terms")
-    for name, words in (("phonetic_alphabet", PHONETIC), ("commands", COMMANDS), ("callsign_terms", CALLSIGNS)):
+    for name, words in (("phonetic_alphabet", PHONETIC), ("atc_commands", COMMANDS), ("callsign_related_terms", CALLSIGNS)):
         out = out.when(word.isin(words), name)
     return out.otherwise("other")
 

@@ -33,33 +33,53 @@ def development_sessions(sessions: DataFrame, fraction: float, seed: str) -> Dat
     return several.unionByName(single.where("chosen + sum_before < whole").select("airport", "recorded_date", "seconds"))
 
 
-def nearest_subset(ticks: list[int], target: int, whole_allowed: bool = True) -> list[int]:
-    """Places of items whose sum is nearest to the target (the smaller sum on ties); never none, and not all if so asked.
+def first_reaching(sizes: list[int], most: int, stop_at: int | None = None) -> np.ndarray:
+    """For every sum up to ``most``, the place of the item whose turn first made it reachable; -1 for sums out of reach.
 
-    Reachable sums are the bits of one number; the choice is read back from the
-    prefixes of the list.
+    Items have their turns in order and count once. Sum 0 is reachable before
+    the first turn and holds the number of items. Following a sum down, each
+    time less the size of its item, spells out its subset.
     """
-    limit = target + max(ticks, default=0)
-    mask = (1 << (limit + 1)) - 1
-    reach = [1]
-    for t in ticks:
-        reach.append((reach[-1] | (reach[-1] << t)) & mask)
-    everything = sum(ticks)
-    for distance in range(limit + 1):
-        for total in (target - distance, target + distance):
-            if 0 < total <= limit and reach[-1] >> total & 1 and (whole_allowed or total != everything):
-                out, left = [], total
-                for i in range(len(ticks) - 1, -1, -1):
-                    if not reach[i] >> left & 1:
-                        out.append(i)
-                        left -= ticks[i]
-                return out[::-1]
-    return []
+    reached_by = np.full(most + 1, -1, np.int64)
+    reached_by[0] = len(sizes)
+    for place, size in enumerate(sizes):
+        if 0 < size <= most:
+            fresh = np.flatnonzero((reached_by[:-size] >= 0) & (reached_by[size:] < 0)) + size
+            reached_by[fresh] = place
+            if stop_at is not None and reached_by[stop_at] >= 0:
+                break
+    return reached_by
+
+
+def spelled_out(reached_by: np.ndarray, sizes: list[int], total: int) -> list[int]:
+    """Places, in order, of the items that make up ``total``."""
+    places = []
+    while total:
+        places.append(int(reached_by[total]))
+        total -= sizes[places[-1]]
+    return places[::-1]
+
+
+def nearest_subset(ticks: list[int], target: int, whole_allowed: bool = True, tie=None) -> list[int]:
+    """Places of items whose sum is nearest to the target; never none, and not all if so asked.
+
+    Of two sums as near, the one whose places have the smaller ``tie`` (a
+    function of them) is taken; without it, the smaller sum.
+    """
+    reached_by = first_reaching(ticks, target + max(ticks, default=0))
+    sums = np.flatnonzero(reached_by >= 0)
+    sums = sums[(sums > 0) & (whole_allowed | (sums != sum(ticks)))]
+    if not len(sums):
+        return []
+    away = np.abs(sums - target)
+    near = [spelled_out(reached_by, ticks, int(s)) for s in sums[away == away.min()]]
+    return min(near, key=tie) if tie else near[0]
 
 
 def subset_per_group(groups: DataFrame, by: str, key: str, seconds: str, fraction: float, seed: int) -> DataFrame:
     """(by, key, seconds, chosen): within each ``by``, a subset of groups near ``fraction`` of its seconds, at tenths of a second, never all.
 
+    Of two subsets as near, the one whose digest (of seed and keys) is smaller.
     A group of groups (the days of an airport) is small by nature: one task
     holds its keys and totals, not its rows.
     """
@@ -67,7 +87,9 @@ def subset_per_group(groups: DataFrame, by: str, key: str, seconds: str, fractio
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(_r=[hashlib.sha256(f"{seed}:{a}|{k}".encode()).hexdigest() for a, k in zip(part[by], part[key])]).sort_values("_r", ignore_index=True)
         ticks = [max(1, int(np.round(s * 10))) for s in part[seconds]]
-        chosen = set(nearest_subset(ticks, int(np.round(part[seconds].sum() * fraction * 10)), whole_allowed=False))
+        names = list(zip(part[by], part[key]))
+        digest = lambda places: hashlib.sha256(f"{seed}:{tuple(names[i] for i in places)!r}".encode()).hexdigest()
+        chosen = set(nearest_subset(ticks, int(np.round(part[seconds].sum() * fraction * 10)), whole_allowed=False, tie=digest))
         return pd.DataFrame({by: part[by], key: part[key], seconds: part[seconds], "chosen": [i in chosen for i in range(len(part))]})
 
     return groups.select(by, key, seconds).groupBy(by).applyInPandas(run, f"{by} string, {key} string, {seconds} double, chosen boolean")
@@ -75,16 +97,7 @@ def subset_per_group(groups: DataFrame, by: str, key: str, seconds: str, fractio
 
 def best_fit(lengths: list[int], capacity: int) -> list[int]:
     """Places of the items that fill the capacity best; of equal fills the one reached earliest in the list."""
-    if capacity < 0 or any(x < 0 for x in lengths):
+    if capacity < 0 or min(lengths, default=0) < 0:
         raise ValueError("lengths and capacity must not be negative")
-    reach, full = [1], 1 << capacity
-    for x in lengths:
-        if reach[-1] & full:
-            break
-        reach.append((reach[-1] | (reach[-1] << x)) & (2 * full - 1))
-    left, out = reach[-1].bit_length() - 1, []
-    for i in range(len(reach) - 2, -1, -1):
-        if not reach[i] >> left & 1:
-            out.append(i)
-            left -= lengths[i]
-    return out[::-1]
+    reached_by = first_reaching(lengths, capacity, stop_at=capacity)
+    return spelled_out(reached_by, lengths, int(np.flatnonzero(reached_by >= 0)[-1]))

@@ -183,7 +183,7 @@ _GRAMS = """CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range
 
 
 def _sides(spark, sf, n: int = 4):
-    words = T.tokens(T.norm_audit(F.col("text")))
+    words = T.audit_words(F.col("text"))
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
     b = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), words.alias("words"))
     return d, b
@@ -218,10 +218,10 @@ def bag_jaccard(spark, sf):
     return overlap.bag_likeness_pairs(pairs, d, b).withColumn("likeness", F.round("likeness", 6))
 
 
-@query("SELECT doc_id AS hay_id, item_id AS needle_id, (instr(d.text, b.text) - 1)::BIGINT AS position FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 24")
+@query("SELECT doc_id AS hay_id, item_id AS needle_id, (instr(d.text, b.text) - 1)::BIGINT AS position FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def substring_containment(spark, sf):
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return overlap.containment(d, V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return overlap.any_containment(d, V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
 @query("SELECT a.doc_id AS id, count(*) AS matches FROM (SELECT doc_id, source, substr(text, 11, 20) AS crop FROM documents) a JOIN (SELECT DISTINCT source, substr(text, 11, 20) AS crop FROM documents WHERE length(text) > 500) b USING (source, crop) GROUP BY a.doc_id")
@@ -268,10 +268,10 @@ def _marked(spark, sf):
     return V.manifest(spark, sf).withColumn("split", V.split_of(F.col("source_record_id"))).withColumn("sha", F.sha2("text", 256))
 
 
-@query("""SELECT split, count(*) AS n, count(*) FILTER (sha IN (SELECT sha FROM protected)) AS hit_sha, count(*) FILTER ((airport || recorded_date) IN (SELECT airport || recorded_date FROM protected)) AS hit_day,
+@query("""SELECT split, count(*) AS n, count(*) FILTER (sha IN (SELECT sha FROM protected)) AS hit_sha, count(*) FILTER ((airport || '::' || recorded_date) IN (SELECT airport || '::' || recorded_date FROM protected)) AS hit_day,
 count(*) FILTER (source_record_id IN (SELECT source_record_id FROM protected)) AS hit_record FROM rest GROUP BY split""", V.MANIFEST, _PROTECTED)
 def protected_leak_flags(spark, sf):
-    m = _marked(spark, sf).withColumn("day", F.concat("airport", F.col("recorded_date").cast("string"))).withColumn("record", F.col("source_record_id"))
+    m = _marked(spark, sf).withColumn("day", F.concat_ws("::", "airport", F.col("recorded_date").cast("string"))).withColumn("record", F.col("source_record_id"))
     flagged = overlap.protected_flags(m.where("split <> 'test'").select("split", "sha", "day", "record"), m.where("split = 'test'"), ["sha", "day", "record"])
     return flagged.groupBy("split").agg(F.count("*").alias("n"), *(F.count_if(f"hit_{k}").alias(f"hit_{k}") for k in ("sha", "day", "record")))
 
@@ -285,10 +285,10 @@ def protected_anti(spark, sf):
 @query("""SELECT k.key, a.split AS split_a, b.split AS split_b, count(DISTINCT a.value) FILTER (b.value IS NOT NULL) AS shared FROM (SELECT 1) x, (SELECT unnest(['record', 'sha', 'day']) AS key) k, (SELECT 1) y
 JOIN (SELECT DISTINCT split FROM marked) sa ON true JOIN (SELECT DISTINCT split FROM marked) sb ON sa.split < sb.split
 LEFT JOIN vals a ON a.split = sa.split AND a.key = k.key LEFT JOIN vals b ON b.split = sb.split AND b.key = k.key AND b.value = a.value GROUP BY ALL""".replace("a.split AS split_a, b.split AS split_b", "sa.split AS split_a, sb.split AS split_b"), V.MANIFEST, _PROTECTED,
-    "vals AS (SELECT DISTINCT split, 'record' AS key, source_record_id AS value FROM marked UNION SELECT DISTINCT split, 'sha', sha FROM marked UNION SELECT DISTINCT split, 'day', airport || recorded_date FROM marked)",
+    "vals AS (SELECT DISTINCT split, 'record' AS key, source_record_id AS value FROM marked UNION SELECT DISTINCT split, 'sha', sha FROM marked UNION SELECT DISTINCT split, 'day', airport || '::' || recorded_date FROM marked)",
 )
 def pairwise_disjointness(spark, sf):
-    m = _marked(spark, sf).select("split", F.col("source_record_id").alias("record"), "sha", F.concat("airport", F.col("recorded_date").cast("string")).alias("day"))
+    m = _marked(spark, sf).select("split", F.col("source_record_id").alias("record"), "sha", F.concat_ws("::", "airport", F.col("recorded_date").cast("string")).alias("day"))
     return overlap.pairwise_overlap(m, "split", ["record", "sha", "day"])
 
 
@@ -397,12 +397,26 @@ def shard_balance(spark, sf):
     return curate.running_total(m, F.col("one"), T.stable_rank(7, F.col("id")), ["airport"]).select("id", F.pmod(F.col("cum") - 1, F.lit(8)).cast("long").alias("shard"))
 
 
-@query(f"SELECT part, count(*) AS draws FROM (SELECT CASE WHEN {V.hash_sql('3', 'i')} % 100 < 80 THEN 'domain' ELSE 'general' END AS part FROM (SELECT unnest(range(10000)) AS i)) GROUP BY part")
+DRAWS = 10_000
+_PARTS = "parts AS (SELECT id, part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY part) AS size FROM (SELECT id, CASE WHEN source = 'src0' THEN 'domain' ELSE 'general' END AS part FROM manifest))"
+
+
+@query(f"""SELECT p.id, p.part, count(*) AS draws FROM (SELECT i, CASE WHEN {V.hash_sql('3', 'i')} % 100 < 80 THEN 'domain' ELSE 'general' END AS part FROM (SELECT unnest(range({DRAWS})) AS i)) d
+JOIN parts p ON p.part = d.part AND p.place = {V.hash_sql('5', 'd.i')} % p.size GROUP BY p.id, p.part""", V.MANIFEST, _PARTS)
 def weighted_draws(spark, sf):
-    """A sampling operator: ten thousand weighted draws between two parts, by hash."""
+    """A sampling operator: ten thousand draws, four fifths of them from the rows of the domain, each row as often as it is drawn.
+
+    Draws are few and meet numbered rows; no row is repeated before it is drawn.
+    """
     from lexmill.functions.stats import hash_number
 
-    return spark.range(10000).select(F.when(hash_number(F.lit(3), F.col("id")) % 100 < 80, "domain").otherwise("general").alias("part")).groupBy("part").agg(F.count("*").alias("draws"))
+    m = V.manifest(spark, sf).select("id", F.when(F.col("source") == "src0", "domain").otherwise("general").alias("part"))
+    rows = curate.numbered(m, ["part"], "id")
+    sizes = m.groupBy("part").agg(F.count("*").alias("size"))
+    part = F.when(hash_number(F.lit(3), F.col("id")) % 100 < 80, "domain").otherwise("general")
+    draws = spark.range(DRAWS).select(part.alias("part"), hash_number(F.lit(5), F.col("id")).alias("h")).join(F.broadcast(sizes), "part")
+    picked = draws.groupBy("part", (F.col("h") % F.col("size") + 1).alias("number")).agg(F.count("*").alias("draws"))
+    return rows.join(F.broadcast(picked), ["part", "number"]).select("id", "part", "draws")
 
 
 @query("SELECT level, count(*) AS n, sum(words)::BIGINT AS words FROM (SELECT words, CASE WHEN errors * 100 >= words * 30 THEN 'hard' WHEN errors * 100 >= words * 15 THEN 'middle' ELSE 'easy' END AS level FROM scored WHERE words > 0) GROUP BY level", V.PREDICTIONS)
@@ -410,25 +424,77 @@ def hard_slices(spark, sf):
     """A pool parted by each row's error rate."""
     e, w = F.col("errors") * 100, F.col("words")
     level = F.when(e >= w * 30, "hard").when(e >= w * 15, "middle").otherwise("easy")
-    return V.scored(spark, sf).where("words > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    return V.scored_utterances(spark, sf).where("words > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("words").alias("words"))
 
 
 @query(f"""SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({_GRAMS.format(n=8)}) AS gram FROM (SELECT doc_id, {V.words_sql(V.NORM_SCORE)} AS w FROM documents) WHERE len(w) >= 8) WHERE gram IN (SELECT unnest({_GRAMS.format(n=8)}) FROM (SELECT {V.words_sql(V.NORM_SCORE)} AS w FROM benchmark) WHERE len(w) >= 8)""")
 def contamination_8gram(spark, sf):
     """Documents that share an eight-word run with a held-out text. Grams of the held-out texts are few; documents' grams are only tested, never dealt out."""
-    words = T.tokens(T.norm_score(F.col("text")))
-    held = V.table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) >= 8").select(F.explode(T.word_grams(F.col("w"), 8)).alias("gram")).distinct()
-    d = V.table(spark, sf, "documents").select("doc_id", words.alias("w")).where("size(w) >= 8").select("doc_id", F.explode(T.word_grams(F.col("w"), 8)).alias("gram"))
+    words = T.score_words(F.col("text"))
+
+    def hashed(name, key):
+        rows = V.table(spark, sf, name).select(F.col(key).alias("id"), words.alias("w")).where("size(w) >= 8")
+        return rows.select("id", F.explode(T.gram_hashes(F.col("w"), 8)).alias("gram"))
+
+    held = hashed("benchmark", "item_id").select("gram").distinct()
     few = held.count() <= 1_000_000
-    return d.join(F.broadcast(held) if few else held, "gram", "left_semi").select("doc_id").distinct()
+    return hashed("documents", "doc_id").join(F.broadcast(held) if few else held, "gram", "left_semi").select(F.col("id").alias("doc_id")).distinct()
 
 
 @query(f"SELECT g AS gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM (SELECT {V.words_sql(V.NORM_SCORE)} AS w FROM documents) WHERE len(w) >= 3) GROUP BY g HAVING count(*) >= 20")
 def ngram_counts(spark, sf):
     """Three-word runs that occur twenty times or more: counts for language models."""
-    d = V.table(spark, sf, "documents").select(T.tokens(T.norm_score(F.col("text"))).alias("w")).where("size(w) >= 3")
-    runs = d.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).alias("gram"))
-    return runs.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
+    return _runs(spark, sf, 3, 20)
+
+
+def _runs(spark, sf, n: int, least: int):
+    """(gram, n) of runs of ``n`` words that occur ``least`` times or more.
+
+    Runs are counted by a 64-bit hash; of those that reach the count, one place
+    each is looked up again for its words.
+    """
+    d = V.table(spark, sf, "documents").select("doc_id", T.score_words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    hashes = T.gram_hashes(F.col("w"), n, distinct=False)
+    counted = d.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    few = counted.count() <= 1_000_000
+    counted = F.broadcast(counted) if few else counted
+    found = d.select("doc_id", F.posexplode(hashes).alias("at", "h")).join(counted, "h")
+    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.first("n").alias("n")).select("f.doc_id", "f.at", "n")
+    return d.join(F.broadcast(first) if few else first, "doc_id").select(F.array_join(F.slice("w", F.col("at") + 1, F.lit(n)), " ").alias("gram"), "n")
+
+
+@query(f"""WITH w AS (SELECT {V.words_sql(V.NORM_SCORE)} AS w FROM documents),
+two AS (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 0) + 1), lambda i: array_to_string(w[i:i + 1], ' '))) AS g FROM w WHERE len(w) >= 2), three AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3),
+seen2 AS (SELECT g, count(*) AS n FROM two GROUP BY g), seen3 AS (SELECT g, count(*) AS n FROM three GROUP BY g HAVING count(*) >= 20)
+SELECT t.g AS gram, t.n, round(t.n / b.n, 6) AS p, round(log10(t.n / b.n), 6) AS log10_p FROM seen3 t JOIN seen2 b ON b.g = array_to_string(string_split(t.g, ' ')[1:2], ' ')""")
+def trigram_estimates(spark, sf):
+    """Maximum-likelihood estimates of a word after two, for the runs of three that occur twenty times or more."""
+    three = _runs(spark, sf, 3, 20).withColumn("before", F.array_join(F.slice(F.split("gram", " "), 1, 2), " "))
+    two = _runs(spark, sf, 2, 20).select(F.col("gram").alias("before"), F.col("n").alias("times"))
+    p = F.col("n") / F.col("times")
+    return three.join(two, "before").select("gram", "n", F.round(p, 6).alias("p"), F.round(F.log10(p), 6).alias("log10_p"))
+
+
+@query("SELECT vec_id, round(length(embedding) / 64.0, 6) AS seconds, (length(embedding) / 64.0 BETWEEN 1 AND 30) AND sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) > 0.001 AND len(list_filter(embedding, lambda x: abs(x) >= 0.3)) / len(embedding) < 0.005 AS accepted FROM embeddings")
+def synthetic_audio_gate(spark, sf):
+    """Made audio passes by duration, loudness and clipping; vectors stand in for a second of sound each."""
+    v = F.col("embedding")
+    seconds = F.size(v) / 64.0
+    return V.table(spark, sf, "embeddings").select("vec_id", F.round(seconds, 6).alias("seconds"), (seconds.between(1, 30) & (rms(v) > 0.001) & (clipped_share(v, 0.3) < 0.005)).alias("accepted"))
+
+
+@query("SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 20) || '.wav' AS name FROM documents")
+def hash_names(spark, sf):
+    """File names that do not tell the id."""
+    return V.table(spark, sf, "documents").select("doc_id", T.hash_name(F.col("doc_id"), ".wav").alias("name"))
+
+
+@query("SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.place FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE doc_id % 2 = 1) b USING (place)")
+def positional_pairs(spark, sf):
+    """Two lists row by row, by place alone; the longer one's rest has no partner."""
+    d = V.table(spark, sf, "documents").select("doc_id")
+    side = lambda rest, name: curate.numbered(d.where(F.col("doc_id") % 2 == rest), [], "doc_id").select(F.col("doc_id").alias(name), F.col("number").alias("place"))
+    return side(0, "left_id").join(side(1, "right_id"), "place").select("left_id", "right_id", "place")
 
 
 # ---- vectors -------------------------------------------------------------------
@@ -464,12 +530,12 @@ def paired_rows(spark, sf):
     return overlap.paired(d, d.select("doc_id", "text"), "doc_id", ["text"]).groupBy("lang").agg(F.count("*").alias("paired"))
 
 
-@query("SELECT count(*) AS planted, count(*) FILTER (EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))) AS recovered FROM benchmark b WHERE length(b.text) >= 24")
+@query("SELECT count(*) AS planted, count(*) FILTER (EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))) AS recovered FROM benchmark b")
 def positive_controls(spark, sf):
     """Known items, and how many the search recovers."""
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    b = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text").where(F.length("text") >= 24)
-    found = overlap.containment(d, b).select(F.col("needle_id").alias("id")).distinct().withColumn("hit", F.lit(1))
+    b = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = overlap.any_containment(d, b).select(F.col("needle_id").alias("id")).distinct().withColumn("hit", F.lit(1))
     return b.join(found, "id", "left").agg(F.count("*").alias("planted"), F.count("hit").alias("recovered"))
 
 

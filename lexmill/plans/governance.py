@@ -110,7 +110,7 @@ _RATE = f"len({V.words_sql(V.NORM_SCORE)}) / duration"
 FROM (SELECT m.*, l.quality * 0.9 + (l.doc_id % 10) / 100.0 AS score FROM manifest m JOIN labels l ON l.doc_id = m.id)) GROUP BY reason""", V.MANIFEST)
 def quality_gate_text_rate(spark, sf):
     m = V.manifest(spark, sf).join(V.table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id").withColumn("score", F.col("quality") * 0.9 + (F.col("id") % 10) / 100.0)
-    rate = F.size(T.tokens(T.norm_score(F.col("text")))) / F.col("duration")
+    rate = F.size(T.score_words(F.col("text"))) / F.col("duration")
     reason = F.when(F.col("airport") != "en", "language").when(F.col("score") < 0.9, "posterior").when(~F.col("duration").between(0.5, 300), "duration").when(~rate.between(1.0, 5.2), "text_rate").otherwise("accepted")
     return m.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -162,12 +162,11 @@ def time_windows(spark, sf):
     return e.select("event_id", start.alias("start_epoch"), (start + F.col("value")).alias("end_epoch"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.bround(F.col("value") / 3600, 6).alias("hours"))
 
 
-@query("SELECT doc_id, sha256('[\"' || array_to_string(list_sort(list_distinct(string_split(lower(substr(text, 1, 60)), ' '))), '\", \"') || '\"]') AS digest FROM documents WHERE NOT contains(substr(text, 1, 60), '\"')")
+@query("SELECT doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::VARCHAR) AS digest FROM documents")
 def canonical_json_digest(spark, sf):
-    """The digest of a sorted JSON list with fixed separators."""
-    d = V.table(spark, sf, "documents").withColumn("head", F.substring("text", 1, 60)).where(~F.contains("head", F.lit('"')))
-    parts = F.sort_array(F.array_distinct(F.split(F.lower("head"), " ")))
-    return d.select("doc_id", F.sha2(F.concat(F.lit('["'), F.array_join(parts, '", "'), F.lit('"]')), 256).alias("digest"))
+    """The digest of each whole row as JSON with sorted keys, no spaces, escaped quotes, backslashes and control characters, and explicit nulls."""
+    keys = sorted(["doc_id", "lang", "n_chars", "source", "text"])
+    return V.table(spark, sf, "documents").select("doc_id", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256).alias("digest"))
 
 
 @query("SELECT user_id, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")

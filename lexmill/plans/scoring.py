@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.functions.edit import align, edit_counts
-from lexmill.functions.stats import hash_number, resample
+from lexmill.functions.stats import hash_number, multinomial_draws, resample
 from lexmill.operators import report
-from lexmill.operators.curate import numbered
 from lexmill.plans import views as V
 from lexmill.plans.registry import query
 
@@ -18,7 +17,7 @@ WER = "count(*) AS utterances, sum(errors)::BIGINT AS errors, sum(words)::BIGINT
 
 @query(f"SELECT lang, {WER} FROM scored GROUP BY lang", V.PREDICTIONS)
 def wer_by_lang(spark, sf):
-    return report.error_rates(V.scored(spark, sf), "lang")
+    return report.error_rates(V.scored_utterances(spark, sf), "lang")
 
 
 @query(
@@ -29,37 +28,42 @@ UNION ALL SELECT 'disjoint', errors, words FROM scored WHERE id NOT IN (SELECT d
 def wer_by_view(spark, sf):
     """Full and disjoint view in one pass over the rows."""
     marked = V.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("hit")).distinct()
-    rows = V.scored(spark, sf).join(marked, "id", "left")
+    rows = V.scored_utterances(spark, sf).join(marked, "id", "left")
     seen = F.when(F.coalesce("hit", F.lit(False)), F.array(F.lit("full"))).otherwise(F.array(F.lit("full"), F.lit("disjoint")))
     return report.error_rates(rows.withColumn("view", F.explode(seen)), "view")
 
 
 @query(f"SELECT mask, {WER} FROM scored, (SELECT DISTINCT mask FROM masks) m WHERE NOT EXISTS (SELECT 1 FROM masks x WHERE x.mask = m.mask AND x.id = scored.id) GROUP BY mask", V.PREDICTIONS, V.MASKS)
 def wer_mask_fanout(spark, sf):
-    """Rates under each exclusion mask. A row gets the array of masks that exclude it, then counts for all others: no row is compared with a mask's ids."""
-    held = V.masks(spark, sf)
-    names = [r[0] for r in held.select("mask").distinct().orderBy("mask").limit(1000).collect()]
-    excluded = held.groupBy("id").agg(F.collect_set("mask").alias("excluded"))
-    rows = V.scored(spark, sf).join(excluded, "id", "left")
-    keeps = F.array_except(F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>"), F.coalesce("excluded", F.array().cast("array<string>")))
-    return report.error_rates(rows.withColumn("mask", F.explode(keeps)), "mask")
+    """Rates under each exclusion mask: the sums over all rows less those over the rows that a mask excludes. No list of masks is held anywhere."""
+    sums = [F.count("*").alias("utterances"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")]
+    each = V.scored_utterances(spark, sf).groupBy("id").agg(*sums)
+    held = V.masks(spark, sf).distinct()
+    out = held.join(each, "id", "left").groupBy("mask").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"out_{c}") for c in ("utterances", "errors", "words")))
+    whole = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in ("utterances", "errors", "words")))
+    left = {c: (F.col(f"all_{c}") - F.col(f"out_{c}")).alias(c) for c in ("utterances", "errors", "words")}
+    rows = out.join(F.broadcast(whole)).select("mask", *left.values()).where("utterances > 0")
+    return rows.withColumn("wer", report.rate(F.col("errors"), F.col("words")))
 
 
 @query()
 def wer_sdi_by_lang(spark, sf):
     """Substitutions, deletions and insertions of the preferred alignment; their sum is held against the built-in distance."""
-    e = V.scored(spark, sf).withColumn("e", edit_counts("ref", "hyp"))
+    e = V.scored_utterances(spark, sf).withColumn("e", edit_counts("ref", "hyp"))
     return e.groupBy("lang").agg(F.sum("words").alias("words"), F.sum("errors").alias("errors"), *(F.sum(f"e.{c}").alias(c) for c in ("substitutions", "deletions", "insertions")), F.sum((F.col("e.cost") != F.col("errors")).cast("long")).alias("disagreements"))
 
 
 @query()
 def class_error_attribution(spark, sf):
     """Errors by word class; insertions count for the hypothesis word's class, reference words only for references."""
-    ops = V.predictions(spark, sf).select(F.explode(align("ref", "hyp")).alias("o")).select("o.*")
+    ops = V.utterances(spark, sf).select(F.explode(align("ref", "hyp")).alias("o")).select("o.*")
     word = F.when(F.col("op") == "I", F.col("hyp")).otherwise(F.col("ref"))
-    rows = ops.withColumn("word_class", T.word_class(word))
-    hit = lambda op: F.sum((F.col("op") == op).cast("long"))
-    return rows.groupBy("word_class").agg(F.sum((F.col("op") != "I").cast("long")).alias("reference_words"), hit("S").alias("substitutions"), hit("D").alias("deletions"), hit("I").alias("insertions"), F.sum((F.col("op") != "C").cast("long")).alias("attributed_errors"))
+    rows = ops.groupBy("op", word.alias("word")).agg(F.count("*").alias("n")).withColumn("word_class", T.word_class(F.col("word")))
+    hit = lambda op: F.sum(F.when(F.col("op") == op, F.col("n")).otherwise(0))
+    return rows.groupBy("word_class").agg(
+        F.sum(F.when(F.col("op") != "I", F.col("n")).otherwise(0)).alias("reference_words"), hit("S").alias("substitutions"), hit("D").alias("deletions"), hit("I").alias("insertions"),
+        F.sum(F.when(F.col("op") != "C", F.col("n")).otherwise(0)).alias("attributed_errors"),
+    )
 
 
 def _vocabulary(words):
@@ -69,13 +73,13 @@ def _vocabulary(words):
 @query(f"SELECT lang, count(*) AS tokens, count(DISTINCT w) AS types FROM (SELECT lang, unnest({V.words_sql(V.NORM_SCORE)}) AS w FROM documents) GROUP BY lang")
 def norm_score_vocabulary(spark, sf):
     d = V.table(spark, sf, "documents")
-    return _vocabulary(d.select("lang", F.explode(T.tokens(T.norm_score(F.col("text")))).alias("w")))
+    return _vocabulary(d.select("lang", F.explode(T.score_words(F.col("text"))).alias("w")))
 
 
 @query(f"SELECT lang, count(*) AS tokens, count(DISTINCT w) AS types FROM (SELECT lang, unnest({V.words_sql(V.NORM_AUDIT)}) AS w FROM documents) GROUP BY lang")
 def norm_audit_vocabulary(spark, sf):
     d = V.table(spark, sf, "documents")
-    return _vocabulary(d.select("lang", F.explode(T.tokens(T.norm_audit(F.col("text")))).alias("w")))
+    return _vocabulary(d.select("lang", F.explode(T.audit_words(F.col("text"))).alias("w")))
 
 
 @query(f"SELECT doc_id, sha256({V.NORM_SCORE}) AS score_sha, sha256({V.NORM_AUDIT}) AS audit_sha FROM documents")
@@ -143,13 +147,13 @@ def style_profile(spark, sf):
 @query("SELECT lang, sum((regexp_matches(array_to_string(ref, ' '), '[0-9]') <> regexp_matches(coalesce(array_to_string(hyp, ' '), ''), '[0-9]'))::INTEGER)::BIGINT AS differing FROM predictions GROUP BY lang", V.PREDICTIONS)
 def digit_format_difference(spark, sf):
     a, b = (F.array_join(c, " ").rlike("[0-9]") for c in ("ref", "hyp"))
-    return V.predictions(spark, sf).groupBy("lang").agg(F.sum((a != b).cast("long")).alias("differing"))
+    return V.utterances(spark, sf).groupBy("lang").agg(F.sum((a != b).cast("long")).alias("differing"))
 
 
-@query("""SELECT word_class, count(*) AS n FROM (SELECT CASE WHEN w IN (%s) OR regexp_matches(w, '^\\p{Nd}+$') THEN 'number_terms' WHEN w IN (%s) THEN 'phonetic_alphabet' WHEN w IN (%s) THEN 'commands' WHEN w IN (%s) THEN 'callsign_terms' ELSE 'other' END AS word_class
+@query("""SELECT word_class, count(*) AS n FROM (SELECT CASE WHEN w IN (%s) OR regexp_matches(w, '^\\p{Nd}+$') THEN 'number_terms' WHEN w IN (%s) THEN 'phonetic_alphabet' WHEN w IN (%s) THEN 'atc_commands' WHEN w IN (%s) THEN 'callsign_related_terms' ELSE 'other' END AS word_class
 FROM (SELECT unnest(%s) AS w FROM documents)) GROUP BY word_class""" % (*(", ".join(f"'{w}'" for w in x) for x in (T.NUMBER_TERMS, T.PHONETIC, T.COMMANDS, T.CALLSIGNS)), V.words_sql(V.NORM_SCORE)))
 def word_class_histogram(spark, sf):
-    words = V.table(spark, sf, "documents").select(F.explode(T.tokens(T.norm_score(F.col("text")))).alias("w"))
+    words = V.table(spark, sf, "documents").select(F.explode(T.score_words(F.col("text"))).alias("w"))
     return words.groupBy("w").agg(F.count("*").alias("n")).groupBy(T.word_class(F.col("w")).alias("word_class")).agg(F.sum("n").alias("n"))
 
 
@@ -167,47 +171,52 @@ totals AS (SELECT d.g, d.draw, {', '.join(f'sum({e})::BIGINT AS {n}' for n, e in
 @query("WITH " + V.PREDICTIONS + ", " + _boot_sql("SELECT lang AS g, source AS o, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words FROM scored GROUP BY lang, source", {"errors": "errors", "words": "words"}, "SELECT g AS lang, round(quantile_cont(errors / nullif(words, 0), 0.025), 6) AS low, round(quantile_cont(errors / nullif(words, 0), 0.975), 6) AS high FROM totals GROUP BY g", DRAWS, SEED))
 def cluster_bootstrap_ci(spark, sf):
     """95 % interval of the error rate, sources drawn whole."""
-    clusters = V.scored(spark, sf).groupBy("lang", "source").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"))
+    clusters = V.scored_utterances(spark, sf).groupBy("lang", "source").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"))
     # Clusters are few: as many rows as there are sources and languages.
     clusters = clusters.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")))
     draws = resample(clusters, ["lang"], ["errors", "words"], DRAWS, SEED).withColumn("wer", F.col("errors") / F.nullif(F.col("words"), F.lit(0)))
     return draws.groupBy("lang").agg(F.round(F.percentile("wer", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("wer", F.lit(0.975)), 6).alias("high"))
 
 
-PAIRED_DRAWS = 200
+PAIRED_DRAWS = 10_000
 
 
-@query("WITH " + V.PREDICTIONS + ", " + _boot_sql("SELECT lang AS g, id AS o, errors AS a, (CASE WHEN errors > 0 AND id % 3 = 0 THEN errors - 1 ELSE errors END) AS b, words FROM scored", {"a": "a", "b": "b", "words": "words"}, "SELECT g AS lang, round(avg((b - a) / nullif(words, 0)), 6) AS delta, round(quantile_cont((b - a) / nullif(words, 0), 0.025), 6) AS low, round(quantile_cont((b - a) / nullif(words, 0), 0.975), 6) AS high, round(avg((b >= a)::INTEGER), 6) AS not_better FROM totals GROUP BY g", PAIRED_DRAWS, SEED + 1))
+@query()
 def paired_bootstrap_delta(spark, sf):
-    """Two systems over the same utterances: mean and 95 % interval of the difference of their rates."""
+    """Two systems over the same utterances: mean and 95 % interval of the difference of their rates, from 10,000 draws.
+
+    Utterances with the same counts are one kind, and the kinds' multinomial
+    counts are the draws: the work follows the number of kinds (utterances are
+    short, so there are few), not that of utterances.
+    """
     better = F.when((F.col("errors") > 0) & (F.col("id") % 3 == 0), F.col("errors") - 1).otherwise(F.col("errors"))
-    pairs = V.scored(spark, sf).select("lang", "id", F.col("errors").alias("a"), better.alias("b"), "words")
-    d = resample(numbered(pairs, ["lang"], "id"), ["lang"], ["a", "b", "words"], PAIRED_DRAWS, SEED + 1)
+    kinds = V.scored_utterances(spark, sf).groupBy("lang", F.col("errors").alias("a"), better.alias("b"), "words").agg(F.count("*").alias("n"))
+    d = multinomial_draws(kinds, "lang", ["a", "b", "words"], "n", PAIRED_DRAWS, SEED + 1)
     delta = (F.col("b") - F.col("a")) / F.nullif(F.col("words"), F.lit(0))
     return d.groupBy("lang").agg(F.round(F.avg(delta), 6).alias("delta"), F.round(F.percentile(delta, F.lit(0.025)), 6).alias("low"), F.round(F.percentile(delta, F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("b") >= F.col("a")).cast("int")), 6).alias("not_better"))
 
 
 @query("SELECT source, count(*) AS utterances, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words FROM scored GROUP BY source", V.PREDICTIONS)
 def cluster_rollup(spark, sf):
-    return V.scored(spark, sf).groupBy("source").agg(F.count("*").alias("utterances"), F.sum("errors").alias("errors"), F.sum("words").alias("words"))
+    return V.scored_utterances(spark, sf).groupBy("source").agg(F.count("*").alias("utterances"), F.sum("errors").alias("errors"), F.sum("words").alias("words"))
 
 
 @query("SELECT sum(utterances)::BIGINT AS utterances, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, round(sum(errors) / sum(words), 6) AS wer, round(avg(errors / words), 6) AS mean_of_rates FROM (SELECT lang, count(*) AS utterances, sum(errors) AS errors, sum(words) AS words FROM scored GROUP BY lang)", V.PREDICTIONS)
 def combined_split_wer(spark, sf):
     """The rate over several splits comes from summed counts; the mean of their rates is shown beside it."""
-    each = report.error_rates(V.scored(spark, sf), "lang")
+    each = report.error_rates(V.scored_utterances(spark, sf), "lang")
     return each.agg(F.sum("utterances").alias("utterances"), F.sum("errors").alias("errors"), F.sum("words").alias("words"), F.round(F.sum("errors") / F.sum("words"), 6).alias("wer"), F.round(F.avg(F.col("errors") / F.col("words")), 6).alias("mean_of_rates"))
 
 
 @query("SELECT lang, max(errors)::BIGINT AS worst, sum(errors)::BIGINT AS errors, round(max(errors) / nullif(sum(errors), 0), 6) AS worst_share, sum((errors * 2 >= words AND words > 0)::INTEGER)::BIGINT AS half_wrong FROM scored GROUP BY lang", V.PREDICTIONS)
 def error_concentration(spark, sf):
     """How much of the errors a single utterance holds; nothing is left out of the score."""
-    return V.scored(spark, sf).groupBy("lang").agg(F.max("errors").alias("worst"), F.sum("errors").alias("errors"), report.share(F.max("errors"), F.sum("errors")).alias("worst_share"), F.sum(((F.col("errors") * 2 >= F.col("words")) & (F.col("words") > 0)).cast("long")).alias("half_wrong"))
+    return V.scored_utterances(spark, sf).groupBy("lang").agg(F.max("errors").alias("worst"), F.sum("errors").alias("errors"), report.share(F.max("errors"), F.sum("errors")).alias("worst_share"), F.sum(((F.col("errors") * 2 >= F.col("words")) & (F.col("words") > 0)).cast("long")).alias("half_wrong"))
 
 
 @query("SELECT lang, source, " + WER + " FROM scored GROUP BY ROLLUP (lang, source)", V.PREDICTIONS)
 def wer_slices(spark, sf):
-    rows = V.scored(spark, sf).rollup("lang", "source").agg(F.count("*").alias("utterances"), F.sum("errors").alias("errors"), F.sum("words").alias("words"))
+    rows = V.scored_utterances(spark, sf).rollup("lang", "source").agg(F.count("*").alias("utterances"), F.sum("errors").alias("errors"), F.sum("words").alias("words"))
     return rows.withColumn("wer", report.rate(F.col("errors"), F.col("words")))
 
 

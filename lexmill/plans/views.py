@@ -9,7 +9,17 @@ from lexmill.functions import text as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tables of whole texts, whose rows cost much more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores where their files have fewer splits than that (a row group is one task); as they are otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,32 +50,60 @@ def words_sql(norm: str) -> str:
     return f"list_filter(string_split({norm}, ' '), lambda w: w <> '')"
 
 
-#: The SQL below still takes only so many words of each text; the DataFrames take all.
+#: Words of an utterance: a document is a recording of consecutive utterances, which together hold all its words.
 WORDS = 30
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored utterances: all words of each document, and a hypothesis with every seventh word lost and some others wrong."""
     d = table(spark, sf_dir, "documents")
-    ref = T.tokens(T.norm_score(F.col("text")))
+    ref = T.score_words(F.col("text"))
     rows = d.select(F.col("doc_id").alias("id"), "lang", "source", ref.alias("ref"))
     hyp = F.filter(F.transform("ref", lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 11 == 5, F.lit("zzz")).otherwise(w)), lambda w: w.isNotNull())
     return rows.withColumn("hyp", hyp)
 
 
-PREDICTIONS = f"""first_words AS (SELECT doc_id AS id, lang, source, text, {words_sql(NORM_SCORE)}[1:{WORDS}] AS ref FROM documents),
-predictions AS (SELECT id, lang, source, text, ref, list_transform(list_filter(list_transform(ref, lambda w, i: struct_pack(w := w, i := i - 1)), lambda s: s.i % 7 <> 3),
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``predictions`` at the grain of utterances: (id, part, lang, source, ref, hyp).
+
+    Part ``k`` has the words from ``k * WORDS`` on, with their share of the
+    hypothesis; a document without words has one empty utterance. Distances
+    then cost in proportion to the corpus, whatever the length of a text.
+    """
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), "lang", "source", T.score_words(F.col("text")).alias("w"))
+    rows = rows.select("id", "lang", "source", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")))).alias("part"))
+    rows = rows.select("id", "part", "lang", "source", F.slice("w", F.col("part") * WORDS + 1, F.lit(WORDS)).alias("ref"))
+    place = F.col("part") * WORDS
+    hyp = F.filter(F.transform("ref", lambda w, i: F.when((place + i) % 7 == 3, F.lit(None)).when((place + i) % 11 == 5, F.lit("zzz")).otherwise(w)), lambda w: w.isNotNull())
+    return rows.withColumn("hyp", hyp)
+
+
+PREDICTIONS = f"""all_words AS (SELECT doc_id AS id, lang, source, {words_sql(NORM_SCORE)} AS w FROM documents),
+parted AS (SELECT *, unnest(range(0, 1 + greatest(0, len(w) - 1) // {WORDS})) AS part FROM all_words),
+first_words AS (SELECT id, part, lang, source, w[part * {WORDS} + 1 : part * {WORDS} + {WORDS}] AS ref FROM parted),
+predictions AS (SELECT id, part, lang, source, ref, list_transform(list_filter(list_transform(ref, lambda w, i: struct_pack(w := w, i := part * {WORDS} + i - 1)), lambda s: s.i % 7 <> 3),
   lambda s: CASE WHEN s.i % 11 = 5 THEN 'zzz' ELSE s.w END) AS hyp FROM first_words),
 coded AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS known FROM predictions),
-scored AS (SELECT id, lang, source, text, ref, hyp, len(ref)::BIGINT AS words,
+scored AS (SELECT id, part, lang, source, ref, hyp, len(ref)::BIGINT AS words,
   levenshtein(coalesce(array_to_string(list_transform(ref, lambda w: chr((32 + list_position(known, w))::INTEGER)), ''), ''),
               coalesce(array_to_string(list_transform(hyp, lambda w: chr((32 + list_position(known, w))::INTEGER)), ''), ''))::BIGINT AS errors FROM coded)"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_errors(rows: DataFrame) -> DataFrame:
     from lexmill.functions.edit import edit_distance
 
-    return predictions(spark, sf_dir).withColumn("errors", edit_distance(F.col("ref"), F.col("hyp"))).withColumn("words", F.size("ref").cast("long"))
+    return rows.withColumn("errors", edit_distance(F.col("ref"), F.col("hyp"))).withColumn("words", F.size("ref").cast("long"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, aligned as a whole."""
+    return with_errors(predictions(spark, sf_dir))
+
+
+def scored_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per utterance."""
+    return with_errors(utterances(spark, sf_dir))
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import wave
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 class ScanError(ValueError):
@@ -121,3 +122,25 @@ def pcm_crop(pcm, offset, duration, rate: int = 16000):
     """The bytes of a stretch of 16-bit mono samples; frames are truncated towards zero."""
     first, count = (offset * rate).cast("long"), (duration * rate).cast("long")
     return F.substr(pcm, (first * 2 + 1).cast("int"), (count * 2).cast("int"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def audio_segment(content: pd.Series, offset: pd.Series, duration: pd.Series) -> pd.Series:
+    """A stretch of a WAV file at 8 kHz in one channel, without offset, scaled to magnitude 1; no positive duration means to the end; unreadable files are null."""
+    from lexmill.functions.stats import normalised
+
+    out = []
+    for data, start, length in zip(content, offset, duration):
+        try:
+            with wave.open(io.BytesIO(bytes(data))) as w:
+                rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
+                first = min(max(0, round(float(start or 0) * rate)), w.getnframes())
+                w.setpos(first)
+                wanted = max(1, round(float(length) * rate)) if length and length > 0 else w.getnframes() - first
+                raw = w.readframes(wanted)
+            kind = {1: "u1", 2: "<i2", 4: "<i4"}[width]
+            samples = np.frombuffer(raw, kind).reshape(-1, channels).astype(float)
+            out.append(normalised((samples - 128) / 128 if width == 1 else samples / float(1 << (8 * width - 1)), rate))
+        except (wave.Error, EOFError, TypeError, KeyError):
+            out.append(None)
+    return pd.Series(out)

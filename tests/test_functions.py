@@ -111,3 +111,77 @@ def test_resample_is_repeatable(spark):
     a = stats.resample(units, ["g"], ["v"], 50, 3).orderBy("draw").collect()
     b = stats.resample(units.repartition(7), ["g"], ["v"], 50, 3).orderBy("draw").collect()
     assert a == b and len(a) == 50 and abs(np.mean([r.v for r in a]) - 190) < 25
+
+
+def test_shifted_correlations_against_plain_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = rng.standard_normal(rng.integers(1, 40)), rng.standard_normal(rng.integers(1, 40))
+        shifts = np.arange(-50, 51)
+        r, n = stats.shifted_correlations(a, b, shifts)
+        for s, got, common in zip(shifts, r, n):
+            x, y = (a[s:], b) if s >= 0 else (a, b[-s:])
+            k = min(len(x), len(y))
+            assert common == k and got == pytest.approx(np.corrcoef(x[:k], y[:k])[0, 1] if k > 1 else 0.0, abs=1e-6)
+
+
+def test_multinomial_draws_are_those_of_single_units(spark):
+    units = [(1.0, 2.0)] * 30 + [(0.0, 1.0)] * 60 + [(5.0, 3.0)] * 10
+    kinds = spark.createDataFrame([("g", 1.0, 2.0, 30), ("g", 0.0, 1.0, 60), ("g", 5.0, 3.0, 10), ("h", 2.0, 1.0, 7)], "g string, a double, b double, n long")
+    got = stats.multinomial_draws(kinds, "g", ["a", "b"], "n", 4000, 5)
+    again = stats.multinomial_draws(kinds.repartition(3), "g", ["a", "b"], "n", 4000, 5, tasks=3)
+    key = lambda r: (r.g, r.draw)
+    rows = sorted(got.collect(), key=key)
+    assert rows == sorted(again.collect(), key=key) and len(rows) == 8000
+    assert {(r.a, r.b) for r in rows if r.g == "h"} == {(14.0, 7.0)}
+    rng = np.random.default_rng(1)
+    plain = np.array([np.array(units)[rng.integers(0, 100, 100)].sum(0) for _ in range(4000)])
+    drawn = np.array([(r.a, r.b) for r in rows if r.g == "g"])
+    for q in (0.025, 0.5, 0.975):
+        assert np.abs(np.quantile(plain, q, axis=0) - np.quantile(drawn, q, axis=0)).max() <= 3
+    assert np.abs(plain.mean(0) - drawn.mean(0)).max() < 1 and np.abs(plain.std(0) / drawn.std(0) - 1).max() < 0.06
+
+
+def test_one_pass_words_are_the_tokens(spark):
+    d = spark.createDataFrame([(t,) for t in [*SAMPLES, "", "  ", "a\tb\nc", "'", "it's 5,000 — ok_now", None]], "t string")
+    t = F.col("t")
+    for r in d.select(text.tokens(text.norm_score(t)).alias("s"), text.score_words(t).alias("s1"), text.tokens(text.norm_audit(t)).alias("a"), text.audit_words(t).alias("a1")).collect():
+        assert r.s == r.s1 and r.a == r.a1
+
+
+def test_paths_and_places(spark):
+    cases = [("a b c".split(), "a x c d".split()), ([], ["q"]), (["q"], []), ([], []), (list("abcdefgh" * 9), list("abxdefgh" * 8))]
+    assert edit.paths(cases) == [edit.path_of(a, b) for a, b in cases]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
+    for r in d.select("i", edit.align("a", "b").alias("o")).collect():
+        assert [tuple(x) for x in r.o] == edit.alignment(*cases[r.i])
+
+
+def test_names_and_paths(spark):
+    d = spark.createDataFrame([("/a/./b/../c",), ("a//b/",), ("../x",), ("/",), ("",)], "p string")
+    assert [r[0] for r in d.select(text.resolved(F.col("p"))).collect()] == ["/a/c", "a/b", "x", "/", ""]
+    import hashlib
+
+    assert d.select(text.hash_name(F.lit("id7"), ".wav")).first()[0] == hashlib.sha256(b"id7").hexdigest()[:20] + ".wav"
+
+
+def test_resampling_and_normalising():
+    t = np.arange(16000) / 16000
+    x = np.sin(2 * np.pi * 440 * t)
+    y = stats.resampled(x, 16000, 8000)
+    assert len(y) == 8000 and np.abs(y[200:-200] - x[::2][200:-200]).max() < 0.01
+    assert np.abs(stats.resampled(np.sin(2 * np.pi * 6000 * t), 16000, 8000)[200:-200]).max() < 0.05
+    z = stats.normalised(np.column_stack([x + 0.5, x * 0]), 16000)
+    assert abs(z.mean()) < 1e-9 and np.abs(z).max() == 1.0
+    assert not stats.normalised(np.zeros((50, 1)), 8000).any() and not len(stats.normalised(np.zeros((0, 2)), 8000))
+
+
+def test_radio_band():
+    t = np.arange(32000) / 16000
+    power = lambda f: np.sqrt(np.mean(stats.band_pass(np.sin(2 * np.pi * f * t), 16000)[8000:] ** 2)) * np.sqrt(2)
+    assert power(1000) == pytest.approx(1, abs=0.01) and power(300) == pytest.approx(2**-0.5, abs=0.02) and power(3400) == pytest.approx(2**-0.5, abs=0.02)
+    assert power(60) < 0.01 and power(7000) < 0.01
+    x = 0.5 * np.sin(2 * np.pi * 1000 * t)
+    heard, noisy = stats.band_pass(x, 16000), stats.radio(x, 16000, 4)
+    assert np.sqrt(np.mean(heard**2) / np.mean((noisy - heard) ** 2)) == pytest.approx(10, rel=0.05)
+    assert (noisy == stats.radio(x, 16000, 4)).all() and np.abs(noisy).max() <= 0.99

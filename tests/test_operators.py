@@ -239,3 +239,53 @@ def test_aligned_containment(spark):
     hay = spark.createDataFrame([(1, bytearray(b"\x01" + bytes(range(1, 40)))), (2, bytearray(b"\x00\x00" + bytes(range(1, 40)))), (3, bytearray(100))], "id int, data binary")
     needle = spark.createDataFrame([(7, bytearray(range(1, 25))), (8, bytearray(20)), (9, bytearray(b"ab"))], "id int, data binary")
     assert [tuple(r) for r in overlap.aligned_containment(hay, needle).collect()] == [(2, 7, 1)]
+
+
+def test_any_containment_against_brute_force(spark):
+    r = random.Random(8)
+    hays = [(i, "".join(r.choices("ab \n", k=r.randint(0, 60)))) for i in range(25)] + [(90, None), (91, "")]
+    sought = [(i, "".join(r.choices("ab \n", k=k))) for i, k in enumerate([1, 1, 2, 2, 3, 4, 5, 6, 7, 11, 12, 13, 23, 24])] + [(i + 40, t[3:]) for i, t in hays[:12]] + [(80, ""), (81, None), (82, "never there")]
+    a, b = (spark.createDataFrame(x, "id int, text string") for x in (hays, sought))
+    want = {(i, j, h.index(n)) for i, h in hays for j, n in sought if h and n and n in h}
+    got = [tuple(x) for x in overlap.any_containment(a, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert overlap.any_containment(a, b.where("id = 80")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=6), st.integers(0, 40))
+def test_ties_between_subsets(ticks, target):
+    got = splits.nearest_subset(ticks, target, tie=lambda places: [-i for i in places])
+    plain = splits.nearest_subset(ticks, target)
+    away = lambda places: abs(sum(ticks[i] for i in places) - target)
+    assert away(got) == away(plain) and sum(ticks[i] for i in plain) <= sum(ticks[i] for i in got)
+
+
+def test_gram_candidates_against_brute_force(spark):
+    r = random.Random(6)
+    make = lambda n: [(i, [r.choice("abc") for _ in range(r.randint(0, 9))]) for i in range(n)]
+    s, t = make(40), make(30)
+    grams = lambda w, n=2: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    frames = [spark.createDataFrame(x, "id int, words array<string>") for x in (s, t)]
+    for most in (500, 24, 12):
+        want = {}
+        for i, w in s:
+            met = {j: len(grams(w) & grams(v)) for j, v in t if len(w) >= 2 and grams(w) & grams(v)}
+            want |= {(i, j): n for j, n in met.items()} if len(met) <= most else {}
+        got = {(x.source_id, x.target_id): x.shared for x in overlap.gram_candidates(*frames, 2, most).collect()}
+        assert got == want
+
+
+def test_audio_segment(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    x = (np.sin(np.arange(32000) / 9) * 9000).astype("<i2")
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(16000), w.writeframes(np.column_stack([x, x]).tobytes())
+    (tmp_path / "b.wav").write_bytes(b"junk")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    got = {r.name: r for r in files.select("name", readers.audio_segment("content", F.lit(0.5), F.lit(1.0)).alias("s"), readers.audio_segment("content", F.lit(1.75), F.lit(0.0)).alias("rest")).collect()}
+    assert got["b.wav"].s is None and len(got["a.wav"].s) == 8000 and len(got["a.wav"].rest) == 2000
+    assert max(map(abs, got["a.wav"].s)) == 1.0 and abs(sum(got["a.wav"].s)) < 1e-6
