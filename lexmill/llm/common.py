@@ -10,13 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.plans.views import TEXTS, spread
+
 #: A side is broadcast only if it holds at most this many (narrow) rows.
 BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the shared tables, read by Spark alone (any store it can open)."""
-    return bounded_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spread(rows) if name in TEXTS else rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,14 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished frames that nothing refers to any more; it does so only when their objects are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
     """Join; ``small`` is broadcast only when a count proves it small, else both sides shuffle."""
     n = small.count() if rows is None else rows

@@ -4,22 +4,27 @@ Two bigram models, of a target corpus and of the background, share one
 vocabulary, one smoothing rule and one scoring pass; a document's score is the
 mean per-token difference of its losses (low: like the target).
 
-Every word is told apart by a 64-bit hash and every bigram has its own count, in
-a distributed table that grows with the corpus. A bigram's losses come from its
-counts and those of its two words. Documents meet the losses in a join by
-bigram; only the commonest bigrams, with a share of all of at least one part in
-``HOT``, are looked up in a broadcast table instead, so no key of the join is hot.
+Every word is told apart by a 64-bit hash and every bigram has its own count;
+what is counted grows with the corpus, and none of it is broadcast or sent to
+the driver. Documents are packed into groups, written once. A group asks for
+each of its different bigrams once: the questions are dealt by a hash of the
+bigram, answered with the corpus's counts, and the answers go back to the
+group, in the order of the questions and so without the bigrams. Words are
+asked for in the same way. A word or bigram of a third of all documents has one
+question a group, not one a document, so no bucket is hot. Questions and
+answers are compressed blocks of whole columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import BROADCAST_ROWS, cut, drop_cut, join_checked, sliced
+from lexmill.llm.common import BROADCAST_ROWS, collect_shuffles, cut, sliced
 
 #: Words of ``vocabulary`` by default.
 WORDS = 1023
@@ -27,8 +32,9 @@ WORDS = 1023
 SIZE = 2048
 #: The class of a text's edge.
 EDGE = K.U64(0x9E3779B97F4A7C15)
-#: Bigrams with at least this part of all occurrences are broadcast: there are at most so many.
-HOT = 1_000_000
+#: Tokens of a group, about (a longer text is a group by itself), and of a bucket of bigrams or words.
+GROUP_TOKENS = 2_000_000
+BUCKET_TOKENS = 2_000_000
 #: Entries held before they are summed in a task, and after which sums are passed on.
 FOLD = 4_000_000
 
@@ -71,21 +77,18 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
-def bigrams(column: pa.Array):
-    """(previous, next, key, first bigram of each row): hashes of all bigrams, with an edge before and after each text."""
+def next_words(column: pa.Array):
+    """(hashes, first of each row): the words of each text and an edge after them. Each follows the one before it, the first an edge."""
     data, offsets = K.string_buffer(column)
     for first, last in K.chunks(offsets):
         own = offsets[first : last + 1]
         part = data[own[0] : own[-1]]
         starts, ends, firsts = K.words_of(part, own - own[0])
-        h = K.word_hashes(part, starts, ends)
         n = np.diff(firsts)
         begin = np.concatenate([[0], np.cumsum(n + 1)])
-        before, after = np.full(begin[-1], EDGE), np.full(begin[-1], EDGE)
-        place = np.arange(len(h)) + np.repeat(np.arange(last - first), n)
-        after[place], before[place + 1] = h, h
-        before[begin[:-1]] = EDGE
-        yield before, after, pair_keys(before, after), begin
+        after = np.full(begin[-1], EDGE)
+        after[np.arange(len(starts)) + np.repeat(np.arange(last - first), n)] = K.word_hashes(part, starts, ends)
+        yield after, begin
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -95,119 +98,349 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return x ^ (x >> K.U64(32))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(pair, a, b, n, t): every bigram of ``_text`` with its words' hashes, its count and that in rows with ``_target``; pre-summed in each task."""
+# ---- blocks of columns: the bytes of a column place by place, so that high zero bytes lie together --------
 
-    def summed(held):
-        key, a, b, n, t = (np.concatenate(x) for x in zip(*held))
-        key, at, back = np.unique(key, return_index=True, return_inverse=True)
-        return key, a[at], b[at], np.bincount(back, n, len(key)).astype(np.int64), np.bincount(back, t, len(key)).astype(np.int64)
 
-    def rows(x):
-        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in x[:3]), pa.array(x[3]), pa.array(x[4])], ["pair", "a", "b", "n", "t"])
+def squeeze(*columns: np.ndarray) -> bytes:
+    import zstandard
+
+    places = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(places))
+
+
+def unsqueeze(blob: bytes, *shapes: tuple[int, str]) -> list[np.ndarray]:
+    """The columns, given the length and kind of each."""
+    import zstandard
+
+    data, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    for n, kind in shapes:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+def gaps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=rising[:1] * 0)
+
+
+#: Words that have a short code in blocks: the commonest ones. The table (half a megabyte) only shortens blocks; it decides nothing.
+CODED = 65_535
+#: What marks the keys of other words, so that none looks like a code.
+MARK, LOW_MARK = K.U64(1 << 63), K.U64(1 << 47)
+
+
+def low_bytes(keys: np.ndarray) -> np.ndarray:
+    """Six bytes of each key, as three 16-bit columns in one array; enough to tell apart the words after one word."""
+    short = np.where(keys & MARK, keys | LOW_MARK, keys)
+    return np.ascontiguousarray(short.view("<u2").reshape(-1, 4)[:, :3])
+
+
+def six_bytes(columns: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(columns) // 3, 4), "<u2")
+    wide[:, :3] = columns.reshape(-1, 3)
+    return wide.view("<u8").ravel()
+
+
+# ---- groups -------------------------------------------------------------------------
+
+
+def groups(marked: DataFrame, kind: str) -> DataFrame:
+    """(m, ids, targets, lengths, n_words, n_tokens, words, sequence): packed groups of (doc_id, _text, _target), made without moving a row."""
 
     def run(batches):
-        held = []
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held, lengths, ids, targets, size = [], [], [], [], 0
+
+        def packed():
+            after = np.concatenate(held)
+            words, place, count = np.unique(after, return_inverse=True, return_counts=True)
+            # Frequent words get small places, which compress best; words as frequent as each other stay in order.
+            order = np.lexsort((words, -np.frexp(count)[1]))
+            words, ranked = words[order], np.empty_like(order)
+            ranked[order] = np.arange(len(order))
+            place = ranked[place]
+            n, all_ids = np.concatenate(lengths), pa.concat_arrays(ids)
+            wide = "<u2" if len(words) <= 1 << 16 else "<u4"
+            lists = pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids)
+            blob = lambda x: pa.array([x], pa.binary())
+            whole = lambda x: pa.array([x], pa.int64())
+            arrays = [whole(number), lists, blob(np.concatenate(targets).astype(np.uint8).tobytes()), blob(n.astype("<i8").tobytes()), whole(len(words)), whole(len(after)), blob(squeeze(gaps(words))), blob(squeeze(place.astype(wide)))]
+            return pa.RecordBatch.from_arrays(arrays, ["m", "ids", "targets", "lengths", "n_words", "n_tokens", "words", "sequence"])
+
         for batch in sliced(batches):
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             row = 0
-            for before, after, key, begin in bigrams(batch.column(0)):
-                wanted = np.repeat(target[row : row + len(begin) - 1], np.diff(begin))
-                row += len(begin) - 1
-                held.append(summed([(key, before, after, np.ones(len(key), np.int64), wanted.astype(np.int64))]))
-            if sum(len(x[0]) for x in held) >= FOLD // 4:
-                held = [summed(held)]
-                if len(held[0][0]) >= FOLD // 8:
-                    yield rows(held[0])
-                    held = []
+            for after, begin in next_words(batch.column(1)):
+                last = row + len(begin) - 1
+                held.append(after), lengths.append(np.diff(begin)), ids.append(batch.column(0).slice(row, last - row)), targets.append(target[row:last])
+                size, row = size + len(after), last
+                if size >= GROUP_TOKENS:
+                    yield packed()
+                    held, lengths, ids, targets, size, number = [], [], [], [], 0, number + 1
         if held:
-            yield rows(summed(held))
+            yield packed()
+
+    return marked.select("doc_id", "_text", "_target").mapInArrow(run, f"m long, ids array<{kind}>, targets binary, lengths binary, n_words long, n_tokens long, words binary, sequence binary")
+
+
+def common_words(packs: DataFrame, least: int = 4) -> np.ndarray:
+    """Sorted hashes of at most CODED common words; a word counts in the groups that have it ``least`` times."""
 
-    found = docs.select("_text", "_target").mapInArrow(run, "pair long, a long, b long, n long, t long")
-    return found.groupBy("pair").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, after = opened(row)
+                n = np.bincount(after, minlength=len(words))
+                often = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
+
+    top = packs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CODED).toArrow()
+    return np.sort(top.column("word").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, place of each token's word) of a packed group."""
+    wide = "<u2" if row["n_words"] <= 1 << 16 else "<u4"
+    return np.cumsum(unsqueeze(row["words"], (row["n_words"], "<u8"))[0], dtype=np.uint64), unsqueeze(row["sequence"], (row["n_tokens"], wide))[0].astype(np.int64)
+
+
+class Group:
+    """One packed group: its words (by rising key), and its different bigrams in order of bucket, first and second word."""
+
+    def __init__(self, row: dict, common: np.ndarray, buckets: int):
+        words, after = opened(row)
+        at = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+        keys = np.where(common[at] == words, at.astype(np.uint64), words | MARK) if len(common) else words | MARK
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.keys = keys[order]
+        self.after = rank[after]
+        self.lengths = np.frombuffer(row["lengths"], "<i8")
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        before = np.empty_like(self.after)
+        before[1:] = self.after[:-1]
+        before[self.begin] = rank[np.flatnonzero(words == EDGE)[0]]
+        self.target = np.repeat(np.frombuffer(row["targets"], np.uint8), self.lengths)
+        kinds, back, self.n = np.unique(before * len(words) + self.after, return_inverse=True, return_counts=True)
+        a, b = kinds // len(words), kinds % len(words)
+        bucket = (pair_keys(self.keys[a], self.keys[b]) % K.U64(buckets)).astype(np.int64)
+        # In a block, bigrams of two coded words come first.
+        order = np.argsort(2 * bucket + (np.maximum(self.keys[a], self.keys[b]) >= MARK), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.a, self.b, self.back, self.n = a[order], b[order], place[back], self.n[order]
+        self.bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def counted(self, what: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(what[self.target > 0], minlength=size)
+
+    def word_order(self, buckets: int):
+        """Places of the words in order of their bucket, and where each bucket begins."""
+        bucket = (self.keys % K.U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+BLOCK = "kind int, key long, part long, size long, extra long, blob binary"
+#: What a block holds: counts of bigrams, kinds of bigrams by their first word, words, counts of words, and totals.
+PAIRS, KINDS, WORD_COUNTS, ANSWERS, TOTALS = range(5)
+
+
+def block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 6
+    types = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["kind", "key", "part", "size", "extra", "blob"])
+
+
+def pair_block(a: np.ndarray, b: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[int, bytes]:
+    """(how many bigrams are of two coded words, block) of bigrams in order of their words' keys, those of two codes first.
+
+    Two codes make one 32-bit number, of which the gaps are kept; of the others
+    each different first word is kept once.
+    """
+    short = (a < MARK) & (b < MARK)
+    both = (a[short] << K.U64(16) | b[short]).astype("<u4")
+    first, runs = np.unique(a[~short], return_counts=True)
+    sizes = np.array([len(first)], "<i8")
+    return int(short.sum()), squeeze(sizes) + squeeze(gaps(both), gaps(first), runs.astype("<i8"), low_bytes(b[~short]).ravel(), n.astype("<i8"), t.astype("<i8"))
 
 
-def pair_losses(pairs: DataFrame) -> DataFrame:
-    """(pair, n, near, far): -log p(next | previous) of all bigrams in target and background: Witten-Bell mixed with add-one unigrams."""
-    has = (F.col("t") > 0).cast("long")
-    before = cut(pairs.groupBy("a").agg(F.sum("n").alias("from_n"), F.count("*").alias("kinds_n"), F.sum("t").alias("from_t"), F.sum(has).alias("kinds_t")))
-    after = cut(pairs.groupBy("b").agg(F.sum("n").alias("to_n"), F.sum("t").alias("to_t")))
-    every = after.agg(F.count("*").alias("words"), F.coalesce(F.sum("to_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("to_t"), F.lit(0)).alias("t")).first()
-    known = max(SIZE, every["words"])
-    rows = join_checked(join_checked(pairs, after, "b", "inner", every["words"]), before, "a", "inner")
+def opened_pairs(blob: bytes, size: int, short: int):
+    """(first key, second key as far as kept, n, t) of a block's bigrams."""
+    import zstandard
 
-    def loss(c: str):
-        total, kinds = F.col(f"from_{c}"), F.col(f"kinds_{c}")
-        unigram = (F.col(f"to_{c}") + 1.0) / F.lit(float(every[c] + known))
-        # Of the weight of the bigrams, total / (total + kinds), the bigram has count / total.
-        return -F.log(F.when(total > 0, (F.col(c) + kinds * unigram) / (total + kinds)).otherwise(unigram))
+    head = zstandard.ZstdDecompressor().decompressobj()
+    firsts = int(np.frombuffer(head.decompress(blob), "<i8")[0])
+    both, first, runs, low, n, t = unsqueeze(head.unused_data, (short, "<u4"), (firsts, "<u8"), (firsts, "<i8"), (3 * (size - short), "<u2"), (size, "<i8"), (size, "<i8"))
+    both = np.cumsum(both, dtype=np.uint32).astype(np.uint64)
+    a = np.concatenate([both >> K.U64(16), np.repeat(np.cumsum(first, dtype=np.uint64), runs)])
+    return a, np.concatenate([both & K.U64(0xFFFF), six_bytes(low)]), n, t
 
-    return rows.select("pair", "n", loss("t").alias("near"), loss("n").alias("far"))
 
+def ask_pairs(packs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
+    """Blocks of bigrams with their counts in a group, keyed by bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = Group(row, np.frombuffer(shared.value, np.uint64), buckets)
+                t = g.counted(g.back, len(g.n))
+                out = []
+                for p in np.flatnonzero(np.diff(g.bounds)):
+                    own = slice(g.bounds[p], g.bounds[p + 1])
+                    out.append((PAIRS, int(p), row["m"], len(g.n[own]), *pair_block(g.keys[g.a[own]], g.keys[g.b[own]], g.n[own], t[own])))
+                    if len(out) == 64:
+                        yield block_batch(out)
+                        out = []
+                yield block_batch(out)
+
+    return packs.mapInArrow(run, BLOCK)
+
+
+def summed(keys: list[np.ndarray], *values: np.ndarray):
+    """(first place of each different key, place of each row's key among them, sums of the values), keys in order of the last."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        ordered = k[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
+    number = np.cumsum(new) - 1
+    back = np.empty_like(number)
+    back[order] = number
+    first = np.flatnonzero(new)
+    return order[first], back, [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
+def answer_pairs(asked: DataFrame, buckets: int) -> DataFrame:
+    """For each block its bigrams' counts over all groups, keyed by group; and for each bucket how many bigrams that occur more than once start with a word, and how often they occur, keyed by the word's bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [opened_pairs(r["blob"], r["size"], r["extra"]) for r in rows]
+        a, b, n, t = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        first, back, (n, t) = summed([b, a], n, t)
+        out, at = [], 0
+        for r in rows:
+            mine = back[at : at + r["size"]]
+            out.append((PAIRS, r["part"], r["key"], r["size"], 0, squeeze(n[mine], t[mine])))
+            at += r["size"]
+        # Bigrams that occur once need no mention: they are what a word's count leaves beside the others.
+        several = n > 1
+        n, t = n[several], t[several]
+        word, _, sums = summed([a[first][several]], np.ones(len(n), np.int64), (t > 0).astype(np.int64), n, t)
+        word = a[first][several][word]
+        bucket = (word % K.U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for q in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[q] : bounds[q + 1]]
+            out.append((KINDS, int(q), rows[0]["key"], len(own), 0, squeeze(gaps(word[own]), *(x[own] for x in sums))))
+        return pa.Table.from_batches([block_batch(out)])
+
+    return asked.groupBy("key").applyInArrow(run, BLOCK)
+
+
+def ask_words(packs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
+    """Blocks of words with their counts in a group, keyed by bucket."""
 
-def score(documents: DataFrame, target_ids: DataFrame, hot: int = HOT) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = Group(row, np.frombuffer(shared.value, np.uint64), 1)
+                order, bounds = g.word_order(buckets)
+                n, t = np.bincount(g.after, minlength=len(g.keys)), g.counted(g.after, len(g.keys))
+                out = []
+                for q in np.flatnonzero(np.diff(bounds)):
+                    own = order[bounds[q] : bounds[q + 1]]
+                    out.append((WORD_COUNTS, int(q), row["m"], len(own), 0, squeeze(gaps(g.keys[own]), n[own].astype("<i8"), t[own].astype("<i8"))))
+                yield block_batch(out)
+
+    return packs.mapInArrow(run, BLOCK)
+
+
+def answer_words(asked: DataFrame) -> DataFrame:
+    """For each block its words' counts and kinds over all groups, keyed by group; and the totals of each bucket (different words, then occurrences in all and in target texts)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        words = [r for r in rows if r["kind"] == WORD_COUNTS]
+        blocks = lambda some, more: [unsqueeze(r["blob"], (r["size"], "<u8"), *[(r["size"], "<i8")] * more) for r in some]
+        parts, starts = blocks(words, 2), blocks([r for r in rows if r["kind"] == KINDS], 4)
+        keys = lambda some: np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in some] or [np.zeros(0, np.uint64)])
+        column = lambda some, i: np.concatenate([p[i] for p in some] or [np.zeros(0, np.int64)])
+        w = keys(parts)
+        first, back, (n, t) = summed([w], column(parts, 1), column(parts, 2))
+        kinds = np.stack([n, t])
+        at = np.searchsorted(w[first], keys(starts))
+        for i in (0, 1):
+            # Occurrences that no repeated bigram accounts for are bigrams that occur once.
+            np.add.at(kinds[i], at, column(starts, i + 1) - column(starts, i + 3))
+        out, at = [], 0
+        for r in words:
+            mine = back[at : at + r["size"]]
+            out.append((ANSWERS, r["part"], r["key"], r["size"], 0, squeeze(n[mine], t[mine], kinds[0][mine], kinds[1][mine])))
+            at += r["size"]
+        out.append((TOTALS, len(first), 0, int(n.sum()), int(t.sum()), b""))
+        return pa.Table.from_batches([block_batch(out)])
+
+    return asked.groupBy("key").applyInArrow(run, BLOCK)
+
+
+def score(documents: DataFrame, target_ids: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every document.
 
     ``target_ids`` (doc_id) names the target corpus; the background is all
-    documents. The end of a text counts as a token, so null and empty texts
-    have one. Repeated rows are counted and scored each; extra columns are
-    ignored. Without a target its model is uniform.
+    documents. Losses are Witten-Bell mixtures of bigrams and add-one unigrams.
+    The end of a text counts as a token, so null and empty texts have one.
+    Repeated rows are counted and scored each; extra columns are ignored.
+    Without a target its model is uniform; an empty table gives no rows.
+    Buckets hold about ``bucket_tokens`` tokens, 1,000 at least.
     """
-    spark = documents.sparkSession
     ids = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_in", F.lit(True))
     rows = documents.select("doc_id", F.col("text").cast("string").alias("_text"))
     small = ids.count() <= BROADCAST_ROWS
-    marked = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left").select("_text", F.coalesce("_in", F.lit(False)).alias("_target"))
-    pairs = cut(pair_counts(marked))
-    losses = cut(pair_losses(pairs))
-    drop_cut(pairs)
-    least = (losses.agg(F.sum("n")).first()[0] or 0) / hot
-    common = losses.where(F.col("n") >= F.lit(least)).select("pair", "near", "far").toArrow()
-    key, near, far = (common.column(c).to_numpy() for c in ("pair", "near", "far"))
-    key = key.astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    tables = spark.sparkContext.broadcast(tuple(x[order].tobytes() for x in (key, near.astype(float), far.astype(float))))
+    marked = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left").select("doc_id", "_text", F.coalesce("_in", F.lit(False)).alias("_target"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        raw = tables.value
-        key = np.frombuffer(raw[0], np.uint64)
-        near, far = (np.append(np.frombuffer(x, float), 0.0) for x in raw[1:])
-        names = ["_row", "_pair", "_n", "doc_id", "n_tokens", "_near", "_far"]
-        for batch in sliced(batches):
-            ids, at = batch.column(0), batch.column(1).to_numpy()
-            row = 0
-            for _, _, own, begin in bigrams(batch.column(2)):
-                docs = len(begin) - 1
-                found = np.searchsorted(key, own)
-                found[found == len(key)] = 0
-                known = key[found] == own if len(key) else np.zeros(len(own), bool)
-                found = np.where(known, found, len(key))
-                number = np.arange(row, row + docs)
-                # A row of its own for each document, with a key that meets no bigram or counts none.
-                whole = [
-                    pa.array(at[number]), pa.array(pair_keys(at[number].astype(np.uint64), np.full(docs, EDGE)).view(np.int64)), pa.array(np.zeros(docs, np.int64)), ids.slice(row, docs),
-                    pa.array(np.diff(begin).astype(np.int64)), pa.array(np.add.reduceat(near[found], begin[:-1])), pa.array(np.add.reduceat(far[found], begin[:-1])),
-                ]
-                yield pa.RecordBatch.from_arrays(whole, names)
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    of, rest = np.repeat(number, np.diff(begin))[rare], own[rare]
-                    order = np.lexsort((rest, of))
-                    of, rest = of[order], rest[order]
-                    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (rest[1:] != rest[:-1])]))
-                    n = np.diff(np.append(first, len(of)))
-                    none = lambda kind: pa.nulls(len(first), kind)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[of[first]]), pa.array(rest[first].view(np.int64)), pa.array(n.astype(np.int64)), none(ids.type), none(pa.int64()), none(pa.float64()), none(pa.float64())], names
-                    )
-                row += docs
-
-    parts = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), "_text").mapInArrow(run, f"_row long, _pair long, _n long, doc_id {kind}, n_tokens long, _near double, _far double")
-    rest = losses.where(F.col("n") < F.lit(least)).select(F.col("pair").alias("_pair"), "near", "far")
-    met = parts.join(rest, "_pair", "left").select(
-        "_row", "doc_id", "n_tokens", F.coalesce("_near", F.col("_n") * F.col("near")).alias("_near"), F.coalesce("_far", F.col("_n") * F.col("far")).alias("_far")
-    )
-    sums = met.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("_near").alias("_near"), F.sum("_far").alias("_far"))
-    n = F.col("n_tokens")
-    return sums.select("doc_id", "n_tokens", (F.col("_near") / n).alias("target_loss"), (F.col("_far") / n).alias("background_loss"), ((F.col("_near") - F.col("_far")) / n).alias("score"))
+    packs = cut(groups(marked, kind))
+    tokens = packs.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = max(1, -(-tokens // max(1000, bucket_tokens)))
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(common_words(packs).tobytes())
+    told = cut(answer_pairs(ask_pairs(packs, shared, buckets), buckets))
+    collect_shuffles(spark)
+    words = cut(answer_words(ask_words(packs, shared, buckets).unionByName(told.where(F.col("kind") == KINDS))))
+    totals = words.where(F.col("kind") == TOTALS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("key", "size", "extra"))).first()
+    known = max(SIZE, totals["key"])
+
+    def run(table: pa.Table) -> pa.Table:
+        held = table.to_pylist()
+        row = next(r for r in held if r["kind"] is None)
+        g = Group(row, np.frombuffer(shared.value, np.uint64), buckets)
+        order, bounds = g.word_order(buckets)
+        pair = np.zeros((2, len(g.n)), np.int64)
+        word = np.zeros((4, len(g.keys)), np.int64)
+        for r in held:
+            if r["kind"] == PAIRS:
+                pair[:, g.bounds[r["part"]] : g.bounds[r["part"] + 1]] = unsqueeze(r["blob"], *[(r["size"], "<i8")] * 2)
+            elif r["kind"] == ANSWERS:
+                word[:, order[bounds[r["part"]] : bounds[r["part"] + 1]]] = unsqueeze(r["blob"], *[(r["size"], "<i8")] * 4)
+        losses = []
+        for c, every in ((1, totals["extra"]), (0, totals["size"])):
+            # A word comes as often before another (or the edge) as after one.
+            total, kinds = word[c][g.a], word[c + 2][g.a]
+            unigram = (word[c][g.b] + 1.0) / (every + known)
+            # Of the weight of the bigrams, total / (total + kinds), the bigram has count / total.
+            mixed = -np.log(np.where(total > 0, (pair[c] + kinds * unigram) / np.maximum(total + kinds, 1), unigram))
+            losses.append(np.add.reduceat(mixed[g.back], g.begin) / g.lengths)
+        ids = table.column("ids").combine_chunks().filter(table.column("kind").combine_chunks().is_null()).flatten()
+        return pa.table([ids, pa.array(g.lengths), *(pa.array(x) for x in losses), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    blocks = told.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == ANSWERS))
+    every = packs.unionByName(blocks.select(F.col("key").alias("m"), "kind", "part", "size", "blob"), allowMissingColumns=True)
+    return every.groupBy("m").applyInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
