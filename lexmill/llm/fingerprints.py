@@ -16,10 +16,10 @@ from lexmill.llm.common import BROADCAST_ROWS, cut, join_checked
 
 K = 3
 WINDOW = 4
-#: Texts with fewer runs than this keep all of them: a window of one.
-SHORT = 32
 #: Rows of a bucket of neighbouring ids, on average.
 BUCKET_ROWS = 1500
+#: Quantiles in one list, at most.
+PARTS = 256
 _LAST = (1 << 31) - 1
 
 
@@ -40,9 +40,9 @@ def packed(gram: Column, at: Column) -> Column:
 def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """array<bigint> of chosen (hash, position) pairs, packed, by position.
 
-    A text of fewer than ``k`` words has one hash, of all of them; a short one
-    keeps all its hashes, which take in whatever a window would choose; without
-    words there are none.
+    A text of fewer than ``k`` words has one hash, of all of them; one of fewer
+    runs than a window holds has the least of them; without words there are
+    none.
     """
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
 
@@ -53,7 +53,7 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
     def choose(g):
         slid = F.transform(F.slice(g, F.lit(1), F.size(g) - (window - 1)), lambda x, i: F.least(x, *(g[i + j] for j in range(1, window))))
-        return F.when(F.size(g) < max(SHORT, window), g).otherwise(F.array_distinct(slid))
+        return F.when(F.size(g) < window, F.array(F.array_min(g))).otherwise(F.array_distinct(slid))
 
     none = F.array().cast("array<bigint>")
     return let(hashes(words(text)), lambda h: F.when(F.size(h) == 0, none).otherwise(let(grams(h), choose)))
@@ -78,19 +78,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def id_bounds(docs: DataFrame, id_column: str, buckets: int) -> list[int]:
+    """Ids that part the rows into about as many equal buckets: quantiles, which outlying ids do not move."""
+    if buckets < 2:
+        return []
+    shares = [i / buckets for i in range(1, buckets)]
+    found = docs.agg(F.percentile_approx(id_column, F.array(*map(F.lit, shares)), 20 * buckets)).first()[0]
+    return sorted(set(found or []))
+
+
 def with_next(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` in buckets of neighbouring ids, ready for a window over (_bucket, _order).
 
-    Each bucket also holds, as a guest, the first row of the next one (the
-    last bucket: of the first), so the next row is always in the bucket. Texts
-    are dealt out once. Null ids count as before all others.
+    Buckets lie between quantiles of the ids, which outlying ids do not move:
+    at most PARTS parts of the order, each with at most PARTS buckets between
+    quantiles of its own. Each bucket also holds, as a guest, the first row of
+    the next one (the last bucket: of the first), so the next row is always in
+    the bucket. Texts are dealt out once. Null ids count as before all others.
     """
     key = F.col(id_column)
-    stats = docs.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, high = stats["low"] or 0, stats["high"] or 0
-    width = max(1, (high - low + 1) * bucket_rows // max(1, stats["n"]))
-    bucket = F.coalesce(F.floor((key - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    dealt = docs.withColumn("_bucket", bucket).withColumn("_order", F.coalesce(key, F.lit(-(1 << 63)))).withColumn("_guest", F.lit(False))
+    wanted = -(-docs.count() // bucket_rows)
+    coarse = id_bounds(docs, id_column, min(PARTS, wanted))
+    many = min(PARTS, -(-wanted // (len(coarse) + 1)))
+    keyed = docs.withColumn("_order", F.coalesce(key, F.lit(-(1 << 63))))
+    below = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col("_order"))), F.lit(0)).cast("long")
+    dealt = keyed.withColumn("_bucket", below(F.array(*map(F.lit, coarse)).cast("array<bigint>")))
+    if many > 1:
+        shares = F.array(*(F.lit(i / many) for i in range(1, many)))
+        fine = dealt.where(key.isNotNull()).groupBy("_bucket").agg(F.percentile_approx(id_column, shares, 20 * many).alias("_fine"))
+        dealt = dealt.join(F.broadcast(cut(fine)), "_bucket", "left").withColumn("_bucket", F.col("_bucket") * many + below(F.col("_fine"))).drop("_fine")
+    dealt = dealt.withColumn("_guest", F.lit(False))
     firsts = cut(dealt.groupBy("_bucket").agg(F.min("_order").alias("_order")))
     # One row per bucket (1/1500 of the rows), two longs each: sorted in one task.
     order = Window.orderBy("_bucket")
@@ -118,7 +135,7 @@ def fingerprint_all(docs: DataFrame, id_column: str = "doc_id", text_column: str
     gives no rows.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_text"))
-    rows = with_next(rows)
+    rows = with_next(rows, bucket_rows=BUCKET_ROWS)
     w = Window.partitionBy("_bucket").orderBy("_order", "_guest", "_text")
     rows = rows.withColumn("_next", F.lead("_text").over(w)).withColumn("_n", F.length("_text"))
     half = F.floor(F.col("_n") / 2).cast("int")

@@ -23,7 +23,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 #: Elements whose content is never text.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "option", "canvas", "math", "head", "title")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "option", "title")
+#: What ends each of them.
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
@@ -50,7 +52,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         parts, links, text_size = [], 0, 0
 
     at, size = 0, len(page)
-    in_link = 0
+    in_link, endless = 0, set()
     while at < size:
         found = TOKEN.search(page, at)
         stop = found.start() if found else size
@@ -79,8 +81,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             elif name in BLOCKS:
                 flush()
             continue
-        if name in RAW and name not in ("head",):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if name in RAW:
+            # An end that is not found once is not found further on either.
+            end = None if name in endless else ENDS[name].search(page, at)
+            if not end:
+                endless.add(name)
             at = end.end() if end else (size if name in ("script", "style") else at)
             continue
         if name == "br":
@@ -98,7 +103,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                         stack.pop()
         names = [name]
         for m in NAMES.finditer(found[3] or ""):
-            names += [f".{w.lower()}" for w in WORDS.findall(m[1] or m[2] or m[3] or "")][:6]
+            names += [f".{w.lower()}" for w in WORDS.findall(m[1] or m[2] or m[3] or "")]
         if not (found[3] or "").rstrip().endswith("/"):
             stack.append((name, names))
             if name == "a":
@@ -123,10 +128,9 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
         for name in path[-1:]:
             j, sign = slot("last " + name, PATH_DIM)
             out[i, j] += sign
-        words = text.split(None, 40)[:40]
-        for w in words:
-            j, sign = slot(w.lower(), WORD_DIM)
-            out[i, PATH_DIM + j] += sign / len(words)
+        words = text.lower().split()
+        at = np.array([slot(w, WORD_DIM) for w in words])
+        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(at[:, 0].astype(np.int64), at[:, 1], WORD_DIM) / len(words)
         out[i, -6:] = np.log1p(len(text)) / 6, linked, text.rstrip()[-1:] in ".!?", len(words) < 6, i / max(1, len(page)), 1.0
     return out
 
@@ -323,14 +327,16 @@ def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def trained(pages: int = 2000, steps: int = 500, batch: int = 48, seed: int = 3) -> Labeller:
-    """The network, trained on made pages; the same on every call. Takes a few seconds."""
+    """The network, trained on made pages; the same on every call. Pages of like length are learnt together, so that little is padding."""
     r = random.Random(seed)
     data = [d for d in (labelled(example(r)) for _ in range(pages)) if len(d[1])]
     net = Labeller(data[0][0].shape[1])
     rng = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
+    by_length = np.argsort([len(y) for _, y in data], kind="stable")
     for t in range(1, steps + 1):
-        chosen = rng.choice(len(data), batch, replace=False)
+        first = rng.integers(0, max(1, len(data) - batch + 1))
+        chosen = by_length[first : first + batch]
         x, lengths = padded([data[i][0] for i in chosen])
         y = np.zeros(x.shape[:2])
         for row, i in enumerate(chosen):
@@ -365,7 +371,8 @@ def extract(pages: DataFrame, *keep: str, html_column: str = "html") -> DataFram
     """``keep`` columns, ``text`` and ``n_chars``.
 
     Null and empty pages have the text "". Pages are labelled each for itself,
-    so repeated rows get equal texts; other columns are ignored.
+    whole however long they are, so repeated rows get equal texts; other columns
+    are ignored; an empty table gives no rows.
     """
     net = trained()
     state, hidden = net.p, net.hidden

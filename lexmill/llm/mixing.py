@@ -9,6 +9,7 @@ distributed sum of as many numbers as there are domains.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,8 @@ DOMAINS = ("clean", "toxic", "poor")
 WEIGHTS = {"clean": 0.97, "toxic": 0.02, "poor": 0.01}
 #: Labelled rows for the classifier, at most; those with the smallest hash of the id.
 TRAIN_ROWS = 6000
-STEPS = 25
+#: Gradient steps, at most; each is one distributed sum.
+STEPS = 60
 #: Posteriors are fitted with this many sweeps.
 SWEEPS = 500
 
@@ -189,7 +191,9 @@ def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: st
 
     Targets are ``weights`` of a total that gives the anchor domain ``growth``
     times the tokens it has. Each residual counts relative to its domain's
-    tokens; in the metric of tokens a full step never overshoots.
+    tokens; in the metric of tokens a full step never overshoots. Steps end when
+    the targets are met or the fit no longer moves; a fit that has done neither
+    is reported by a warning.
     """
     kinds = len(DOMAINS)
     p = F.col("_p")
@@ -208,7 +212,11 @@ def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: st
         if max(map(abs, residual)) < tolerance:
             break
         steps.append(residual)
-        now = totals(steps)
+        before, now = now, totals(steps)
+        if all(abs(x - y) <= 1e-9 * max(m, 1.0) for x, y, m in zip(before, now, mass)):
+            break  # where rates at zero keep a target out of reach, this is the least-squares fit
+    else:
+        warnings.warn(f"rates moved domain tokens to {now} of {target} in {most} steps and had not settled", stacklevel=2)
     return steps
 
 
@@ -221,24 +229,22 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEI
     columns are ignored.
     """
     scored, rate, copies = rated(documents, labels, weights, seed, "doc_id")
-    return scored.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate.alias("rate")).withColumn("copies", copies)
+    return scored.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate.alias("rate")).withColumn("copies", copies("rate"))
 
 
-def rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, *keep: str) -> tuple[DataFrame, Column, Column]:
-    """(rows with posteriors, their rate, their copies given a column ``rate``)."""
+def rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, *keep: str):
+    """(rows with posteriors, their rate, a function from the name of a column of rates to the copies)."""
     scored = cut(posteriors(documents, labels, *keep))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return scored, rate_after(fit_rates(scored, weights), F.col("_p")), F.floor(F.col("rate") + u).cast("long")
+    return scored, rate_after(fit_rates(scored, weights), F.col("_p")), lambda column: F.floor(F.col(column) + u).cast("long")
 
 
 def resample(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = 23) -> DataFrame:
-    """The rows of ``documents``, each as often as its copies say.
+    """The rows of ``documents``, each as often as its copies say; the fitted rates alone decide.
 
-    A document whose likeliest domain is the first (clean) stays at least once.
+    Clean documents have a rate of about ``growth`` and so stay. Null and empty
+    texts are rated like any other; an empty table stays empty.
     """
     scored, rate, copies = rated(documents, labels, weights, seed, *documents.columns)
-    others = [F.col("_p")[k] for k in range(1, len(DOMAINS))]
-    clean = F.col("_p")[0] >= F.greatest(*others)
-    n = F.greatest(F.col("_copies"), clean.cast("long"))
-    rows = scored.withColumn("rate", rate).withColumn("_copies", copies).where(n > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*documents.columns)
+    rows = scored.withColumn("_rate", rate).withColumn("_copies", copies("_rate")).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*documents.columns)

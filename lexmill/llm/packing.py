@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import persistent, sliced
+from lexmill.llm.common import cut, persistent, sliced
 
 #: Documents in a group, on average.
 GROUP_DOCS = 2048
@@ -162,12 +162,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, seed: int = 17,
 
     Null texts count as empty: one piece, the end id. Repeated rows are packed
     each for itself. An empty table gives no rows. Other columns are ignored.
-    A group is a hash of the whole row key and the row's checksums; which rows
-    share one depends on ``seed`` and the row count only, never on placement.
+    A group is a hash of the row's place, so that repeated rows spread over all
+    groups; the checksums are written with it once, and a lost task finds them
+    as they were.
     """
-    n = docs.count()
-    groups = max(1, -(-n // group_docs))
-    pieces = piece_table(docs, tokenizer, capacity).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "sums"), F.lit(groups)))
+    placed = cut(piece_table(docs, tokenizer, capacity).withColumn("_place", F.monotonically_increasing_id()))
+    groups = max(1, -(-placed.count() // group_docs))
+    pieces = placed.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(groups))).drop("_place")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable", ignore_index=True)

@@ -58,17 +58,38 @@ def spans(text: Column, pattern: str, kind: int) -> Column:
     Matches and the gaps between them (what a split at the pattern leaves) give
     the positions by running sums.
     """
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
 
-    def step(state, pair):
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
+    def placed(values, ends):
+        return F.zip_with(values, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), v.alias("value")))
 
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = let(values, lambda v: F.zip_with(v, F.slice(gaps, F.lit(1), F.size(v)), lambda a, b: F.struct(a.alias("value"), b.alias("gap"))))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    def found(values):
+        lengths = F.zip_with(values, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)), lambda v, gap: F.length(v) + F.length(gap))
+        return F.when(F.size(values) == 0, F.array().cast(SPANS)).otherwise(placed(values, let(lengths, lambda n: running_sums(n))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def running_sums(numbers: Column, block: int = 64) -> Column:
+    """Sums up to each number of a non-empty array: by blocks, so that thousands of matches cost little more than their count."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    of = lambda i: F.floor(i / block).cast("int")
+
+    def summed(blocks):
+        return F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda i: total(F.slice(blocks, F.lit(1), i)))
+
+    blocks = F.transform(F.sequence(F.lit(0), of(F.size(numbers) - 1)), lambda i: total(F.slice(numbers, i * block + 1, F.lit(block))))
+    return let(let(blocks, summed), lambda starts: F.transform(numbers, lambda x, i: F.get(starts, of(i)) + total(F.slice(numbers, of(i) * block + 1, i % block + 1))))
+
+
+def apart(found: Column) -> Column:
+    """Of added spans that overlap, the leftmost, of those the longest, of those the first kind."""
+    order = F.array_sort(found, lambda a, b: F.coalesce(F.nullif(a["start"] - b["start"], F.lit(0)), F.nullif(b["end"] - a["end"], F.lit(0)), a["kind"] - b["kind"]))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    step = lambda state, s: F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(s)).alias("out"))).otherwise(state)
+    return F.when(F.size(found) < 2, found).otherwise(F.aggregate(order, zero, step, lambda s: s["out"]))
 
 
 def digits(value: Column) -> Column:
@@ -270,10 +291,11 @@ def detect(docs: DataFrame, *keep: str, text_column: str = "text", threshold: fl
 
     Null texts count as empty: no spans, the digest of the empty string. Rows
     stand alone, so repeated rows get equal results; other columns are ignored;
-    an empty table gives no rows. Added spans overlap no base span.
+    an empty table gives no rows. Added spans overlap no base span and no other
+    added span.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    none = F.array().cast(SPANS)
     rows = docs.select(*keep, text.alias("_text"))
     t = F.col("_text")
     may_any = t.rlike("[0-9@\\[(]")
@@ -291,7 +313,7 @@ def detect(docs: DataFrame, *keep: str, text_column: str = "text", threshold: fl
     after = lambda s: F.substr(t, s["end"] + 1, F.lit(2))
     free = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     chosen = F.filter(F.col("_wider"), lambda s: free(s) & (probability(s, before(s), after(s)) >= threshold))
-    rows = rows.withColumn("_all", F.when(F.size("_wider") == 0, F.col("_base")).otherwise(F.array_sort(F.concat(F.col("_base"), chosen))))
+    rows = rows.withColumn("_all", F.when(F.size("_wider") == 0, F.col("_base")).otherwise(F.array_sort(F.concat(F.col("_base"), apart(chosen)))))
     return rows.select(
         *keep,
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS),

@@ -55,11 +55,8 @@ def fit(x: np.ndarray, good: np.ndarray, accept: float = 0.3, steps: int = 1200,
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     s = z @ w
-    # The quantile at the bad rows' share, moved into the gap between the kinds around it.
-    low = np.quantile(s, (~good).mean())
-    below, above = s[~good & (s <= low)], s[good & (s >= low)]
-    cut = (np.quantile(below, 0.98) + np.quantile(above, 0.02)) / 2 if len(below) and len(above) else low
-    return Ranker(mean, scale, w, float(min(low, cut)), float(s.std() / 4 + 1e-9), accept)
+    # Between the two scores around the quantile at the bad rows' share.
+    return Ranker(mean, scale, w, float(np.quantile(s, (~good).mean(), method="midpoint")), float(s.std() / 4 + 1e-9), accept)
 
 
 def held_out(id_column: str = "doc_id"):
