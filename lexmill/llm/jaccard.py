@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import cut, join_checked, sliced
+from lexmill.llm.common import collect_shuffles, cut, drop_cut, join_checked, sliced
 
 #: Words of a shingle, and the likeness from which two sets link, in hundredths.
 WORDS = 4
@@ -223,8 +223,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("next"), F.col("part").alias("jumped"))
         found = cut(lower.join(jump, "next").select("node", "part", F.least("next", "jumped").alias("next")))
         changed = found.where(F.col("part") != F.col("next")).limit(1).count()
+        drop_cut(labels)
         labels = found.select("node", F.col("next").alias("part"))
         if not changed:
+            drop_cut(both)
             return labels
 
 
@@ -268,9 +270,13 @@ def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """(node, part) of every node in a cell: the components of the links between them."""
     cells = cells.withColumn("added", F.lit(False))
     parts = cut(cells.select("node").distinct().select("node", F.col("node").alias("part"), *(F.lit(None).cast("long").alias(c) for c in PROFILE[2:])))
-    turn, useful, held = 0, True, None
+    turn, useful, held, done = 0, True, None, []
     while True:
         placed = cut(open_members(cells, parts, percent))
+        # What only the round before read goes, and so do the shuffles of its frames.
+        for frame in done:
+            drop_cut(frame)
+        collect_shuffles(texts.sparkSession)
         cells = placed.select(*cells.columns)
         sums = placed.groupBy("pivot", "part").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
         found = sums.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), F.sum("m").alias("members")).first()
@@ -305,6 +311,7 @@ def join_cells(cells: DataFrame, texts: DataFrame, words: int, percent: int) ->
         more = first.select(F.xxhash64(F.lit("added"), "e").alias("pivot"), "node", "n", "u", F.lit(True).alias("added"))
         cells, held = with_added(cells, held, more)
         useful = 8 * (tested.where("linked").count() + fresh.where("not linked").count()) > tested.count()
+        done = [placed, nearest, tested, parts]
         parts = cut(merge(known.select("node", "part", *news), tested.where("linked").select("a", "b")))
         turn += 1
 
