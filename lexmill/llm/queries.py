@@ -15,18 +15,21 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: fixed patterns and incompressible strings near sensitive words; null and empty texts have none."""
     from lexmill.llm.secrets import scan
 
     return scan(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, in ring order of the ids; texts without words have empty ones."""
     from lexmill.llm.fingerprints import fingerprint_all
 
     return fingerprint_all(table(spark, sf_dir, "documents"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth id; unusable vectors take no part."""
     from lexmill.llm.neighbours import nearest
 
     vectors = table(spark, sf_dir, "embeddings")
@@ -34,30 +37,35 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of texts that share 0.85 of their four-word shingles; texts without words are alone."""
     from lexmill.llm.jaccard import link_classes
 
     return link_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies of every document; empty texts have no tokens."""
     from lexmill.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text; null and empty texts have none."""
     from lexmill.llm.pii import detect
 
     return detect(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null and empty pages have none."""
     from lexmill.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"), "page_id", "url")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2,048 tokens; an empty text is one end id."""
     import public_tokenizers
 
     from lexmill.llm.packing import pack
@@ -66,6 +74,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text, learnt outside the held-out fold; empty texts are scored too."""
     from lexmill.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
