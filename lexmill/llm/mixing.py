@@ -29,6 +29,8 @@ WEIGHTS = {"clean": 0.97, "toxic": 0.02, "poor": 0.01}
 TRAIN_ROWS = 6000
 #: Gradient steps, at most; each is one distributed sum.
 STEPS = 60
+#: Plain steps before those in the metric of the rows that still have a rate.
+PLAIN = 12
 #: Posteriors are fitted with this many sweeps.
 SWEEPS = 500
 
@@ -190,8 +192,11 @@ def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: st
     """Gradient steps that take all rates from 1 to the least-squares fit.
 
     Targets are ``weights`` of a total that gives the anchor domain ``growth``
-    times the tokens it has. Each residual counts relative to its domain's
-    tokens; in the metric of tokens a full step never overshoots. Steps end when
+    times the tokens it has; a domain that has less than its share is asked for
+    what it has. Each residual counts relative to its domain's
+    tokens; in the metric of tokens a full step never overshoots. After PLAIN of them, steps
+    take the metric of the rows whose rate is not zero, where posteriors that
+    overlap no longer slow the fit. Steps end when
     the targets are met or the fit no longer moves; a fit that has done neither
     is reported by a warning.
     """
@@ -199,20 +204,29 @@ def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: st
     p = F.col("_p")
 
     def totals(steps):
+        """Domain tokens at the rates, and the sums of posterior products over the rows whose rate is not zero."""
         r = rate_after(steps, p)
-        return [float(x or 0.0) for x in scored.agg(*(F.sum(r * F.col("_tokens") * p[k]).alias(f"m{k}") for k in range(kinds))).first()]
+        sums = [F.sum(r * F.col("_tokens") * p[k]) for k in range(kinds)]
+        products = [F.sum(F.when(r > 0, F.col("_tokens") * p[i] * p[j])) for i in range(kinds) for j in range(kinds)]
+        found = [float(x or 0.0) for x in scored.agg(*(c.alias(f"s{i}") for i, c in enumerate([*sums, *products]))).first()]
+        return found[:kinds], np.array(found[kinds:]).reshape(kinds, kinds)
 
-    mass = totals([])
+    mass, products = totals([])
     total = growth * mass[DOMAINS.index(anchor)] / weights[anchor]
-    target = [weights[d] * total for d in DOMAINS]
+    # A domain is not asked for more tokens than it has: others would pay for its repetition.
+    target = [weights[d] * total if d == anchor else min(weights[d] * total, mass[k]) for k, d in enumerate(DOMAINS)]
     steps: list[list[float]] = []
     now = mass
     for _ in range(most):
         residual = [(now[k] - target[k]) / max(mass[k], 1.0) for k in range(kinds)]
         if max(map(abs, residual)) < tolerance:
             break
-        steps.append(residual)
-        before, now = now, totals(steps)
+        if len(steps) < PLAIN:
+            steps.append(residual)
+        else:
+            # Were no rate to reach zero on the way, this step would meet the targets.
+            steps.append(np.linalg.lstsq(products, np.array(now) - target, rcond=1e-12)[0].tolist())
+        before, (now, products) = now, totals(steps)
         if all(abs(x - y) <= 1e-9 * max(m, 1.0) for x, y, m in zip(before, now, mass)):
             break  # where rates at zero keep a target out of reach, this is the least-squares fit
     else:
