@@ -25,6 +25,8 @@ from lexmill.llm.common import cut, join_checked, sliced
 DOMAINS = ("clean", "toxic", "poor")
 #: Share of the target tokens that each domain should have.
 WEIGHTS = {"clean": 0.97, "toxic": 0.02, "poor": 0.01}
+#: What the target gives the anchor domain, as a multiple of its tokens.
+GROWTH = 1.02
 #: Labelled rows for the classifier, at most; those with the smallest hash of the id.
 TRAIN_ROWS = 6000
 #: Gradient steps, at most; each is one distributed sum.
@@ -188,7 +190,7 @@ def rate_after(steps: list[list[float]], p: Column) -> Column:
     return F.aggregate(each, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((s[k] * p[k] for k in range(1, kinds)), s[0] * p[0])))
 
 
-def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str = "clean", growth: float = 1.02, most: int = STEPS, tolerance: float = 1e-6) -> list[list[float]]:
+def fit_rates(scored: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str = "clean", growth: float = GROWTH, most: int = STEPS, tolerance: float = 1e-6) -> list[list[float]]:
     """Gradient steps that take all rates from 1 to the least-squares fit.
 
     Targets are ``weights`` of a total that gives the anchor domain ``growth``
@@ -246,19 +248,20 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEI
     return scored.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate.alias("rate")).withColumn("copies", copies("rate"))
 
 
-def rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, *keep: str):
+def rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, *keep: str, **fit):
     """(rows with posteriors, their rate, a function from the name of a column of rates to the copies)."""
     scored = cut(posteriors(documents, labels, *keep))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return scored, rate_after(fit_rates(scored, weights), F.col("_p")), lambda column: F.floor(F.col(column) + u).cast("long")
+    return scored, rate_after(fit_rates(scored, weights, **fit), F.col("_p")), lambda column: F.floor(F.col(column) + u).cast("long")
 
 
-def resample(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = 23) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = 23, growth: float = GROWTH) -> DataFrame:
     """The rows of ``documents``, each as often as its copies say; the fitted rates alone decide.
 
-    Clean documents have a rate of about ``growth`` and so stay. Null and empty
+    Clean documents have a rate of about ``growth`` and so stay; the larger it
+    is, the less sure a posterior may be before a rate falls below 1. Null and empty
     texts are rated like any other; an empty table stays empty.
     """
-    scored, rate, copies = rated(documents, labels, weights, seed, *documents.columns)
+    scored, rate, copies = rated(documents, labels, weights, seed, *documents.columns, growth=growth)
     rows = scored.withColumn("_rate", rate).withColumn("_copies", copies("_rate")).where("_copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*documents.columns)
