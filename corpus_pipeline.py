@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.common import cut, table
 
+#: What the mixture asks of the tokens of clean documents: enough above 1 that one with an unsure posterior still has a rate of 1.
+CLEAN_GROWTH = 1.1
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose pairwise-ranking score reaches the threshold; a tie with it stays, null texts are scored as empty ones, repeated rows share their fate."""
@@ -38,7 +41,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out as the fitted rates say, which are above 1 for clean ones; texts without words are rated by their posterior."""
     from lexmill.llm import mixing
 
-    return mixing.resample(docs, table(spark, sf_dir, "labels"))
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), growth=CLEAN_GROWTH)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
