@@ -7,7 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -51,7 +51,11 @@ def csv_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def xml_segments(spark: SparkSession, path: str) -> DataFrame:
     """Annotated segments, numbered from 1 in each file; missing tags are '0', missing texts empty."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return segments_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def segments_of(files: DataFrame) -> DataFrame:
+    """As ``xml_segments``, of rows (file, value) that hold one document each. A document is a recording: one row holds it."""
     schema = "segment array<struct<speaker:string,text:string,start:string,end:string,tags:struct<correct_transcript:string,non_english:string>>>"
     rows = files.select("file", F.posexplode(F.from_xml("value", schema)["segment"]).alias("i", "s"))
     return rows.select(
@@ -61,10 +65,13 @@ def xml_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unique_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, first): trimmed lines, each once, with the place of its first occurrence (file, then line)."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    clean = lines.select(F.trim("value").alias("value"), F.struct("file", "line").alias("at")).where("value <> ''")
-    return clean.groupBy("value").agg(F.min("at").alias("first"))
+    """(value, first): trimmed lines, each once, with the place of its first occurrence.
+
+    Places compare as the lines lie: by file, block of the file, and place in
+    that block. A large file is read in blocks, by many tasks.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.trim("value").alias("value"), place.alias("at")).where("value <> ''").groupBy("value").agg(F.min("at").alias("first"))
 
 
 def arms(spark: SparkSession, path: str, schema: StructType, expected_files: int) -> DataFrame:
@@ -83,12 +90,12 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_available(frames: list[DataFrame], key: str) -> DataFrame:
-    """Rows of the first frame that has their key."""
-    out = frames[0].withColumn("_priority", F.lit(0))
-    for i, frame in enumerate(frames[1:], 1):
-        out = out.unionByName(frame.withColumn("_priority", F.lit(i)))
-    least = F.min("_priority").over(Window.partitionBy(key))
-    return out.withColumn("_least", least).where("_priority = _least").drop("_priority", "_least")
+    """Rows of the first frame that has their key; null is a key like others. Only keys travel against the rows, so a key with many rows is one of them."""
+    out, seen = frames[0], frames[0].select(F.col(key).alias("_seen")).distinct()
+    for frame in frames[1:]:
+        fresh = frame.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        out, seen = out.unionByName(fresh), seen.union(frame.select(key)).distinct()
+    return out
 
 
 def present(rows: DataFrame, path_column: str, spark: SparkSession, folder: str) -> DataFrame:
