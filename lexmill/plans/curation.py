@@ -11,6 +11,7 @@ from lexmill.operators import curate, overlap, splits
 from lexmill.operators.report import share, split_summary as summarise
 from lexmill.plans import views as V
 from lexmill.plans.registry import query
+from lexmill.session import stored
 
 LEN = "length(text)"
 
@@ -433,8 +434,8 @@ def contamination_8gram(spark, sf):
     words = T.score_words(F.col("text"))
 
     def hashed(name, key):
-        rows = V.table(spark, sf, name).select(F.col(key).alias("id"), words.alias("w")).where("size(w) >= 8")
-        return rows.select("id", F.explode(T.gram_hashes(F.col("w"), 8)).alias("gram"))
+        rows = V.table(spark, sf, name).select(F.col(key).alias("id"), words.alias("w"))
+        return rows.select("id", F.explode(F.when(F.size("w") >= 8, T.gram_hashes(F.col("w"), 8))).alias("gram"))
 
     held = hashed("benchmark", "item_id").select("gram").distinct()
     few = held.count() <= 1_000_000
@@ -450,17 +451,19 @@ def ngram_counts(spark, sf):
 def _runs(spark, sf, n: int, least: int):
     """(gram, n) of runs of ``n`` words that occur ``least`` times or more.
 
-    Runs are counted by a 64-bit hash; of those that reach the count, one place
-    each is looked up again for its words.
+    Runs are counted once, by a 64-bit hash, with the smallest document that
+    holds them; only those documents are read again, to spell their runs out.
     """
-    d = V.table(spark, sf, "documents").select("doc_id", T.score_words(F.col("text")).alias("w")).where(F.size("w") >= n)
-    hashes = T.gram_hashes(F.col("w"), n, distinct=False)
-    counted = d.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    few = counted.count() <= 1_000_000
-    counted = F.broadcast(counted) if few else counted
-    found = d.select("doc_id", F.posexplode(hashes).alias("at", "h")).join(counted, "h")
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.first("n").alias("n")).select("f.doc_id", "f.at", "n")
-    return d.join(F.broadcast(first) if few else first, "doc_id").select(F.array_join(F.slice("w", F.col("at") + 1, F.lit(n)), " ").alias("gram"), "n")
+    d = V.table(spark, sf, "documents").select("doc_id", T.score_words(F.col("text")).alias("w"))
+    # No filter by length before the runs: it would move below the words and make them twice.
+    enough = F.size("w") >= n
+    hashes = F.when(enough, T.gram_hashes(F.col("w"), n, distinct=False))
+    counted = d.select("doc_id", F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
+    counted = stored(counted)
+    few = (lambda x: F.broadcast(x)) if counted.count() <= 1_000_000 else (lambda x: x)
+    holders = d.join(few(counted.select("doc_id").distinct()), "doc_id", "left_semi")
+    spelled = F.transform(F.when(enough, F.sequence(F.lit(1), F.size("w") - (n - 1))), lambda i: F.struct(F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("gram")))
+    return holders.select("doc_id", F.explode(spelled).alias("r")).select("doc_id", "r.*").join(few(counted), ["doc_id", "h"]).groupBy("gram", "n").agg(F.lit(1)).select("gram", "n")
 
 
 @query(f"""WITH w AS (SELECT {V.words_sql(V.NORM_SCORE)} AS w FROM documents),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "lexmill", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -35,3 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + tempfile.mkdtemp(prefix="lexmill-")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows``, written to the shared folder and read back: computed once, however often they are used, and safe from lost executors."""
+    path = f"{shared_dir(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
