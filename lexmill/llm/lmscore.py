@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import BROADCAST_ROWS, collect_shuffles, cut, sliced
+from lexmill.llm.common import BROADCAST_ROWS, collect_shuffles, cut, give_back, sliced
 
 #: Words of ``vocabulary`` by default.
 WORDS = 1023
@@ -156,12 +156,11 @@ def groups(marked: DataFrame, kind: str) -> DataFrame:
 
         def packed():
             after = np.concatenate(held)
-            words, place, count = np.unique(after, return_inverse=True, return_counts=True)
+            held.clear()
+            words, place, count = kinds_of(after)
             # Frequent words get small places, which compress best; words as frequent as each other stay in order.
             order = np.lexsort((words, -np.frexp(count)[1]))
-            words, ranked = words[order], np.empty_like(order)
-            ranked[order] = np.arange(len(order))
-            place = ranked[place]
+            words, place = words[order], inverse(order)[place]
             n, all_ids = np.concatenate(lengths), pa.concat_arrays(ids)
             wide = "<u2" if len(words) <= 1 << 16 else "<u4"
             lists = pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids)
@@ -180,6 +179,7 @@ def groups(marked: DataFrame, kind: str) -> DataFrame:
                 if size >= GROUP_TOKENS:
                     yield packed()
                     held, lengths, ids, targets, size, number = [], [], [], [], 0, number + 1
+                    give_back()
         if held:
             yield packed()
 
@@ -190,21 +190,48 @@ def common_words(packs: DataFrame, least: int = 4) -> np.ndarray:
     """Sorted hashes of at most CODED common words; a word counts in the groups that have it ``least`` times."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, after = opened(row)
-                n = np.bincount(after, minlength=len(words))
-                often = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
+        for row in single(batches):
+            words, after = opened(row)
+            n = np.bincount(after, minlength=len(words))
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
 
     top = packs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CODED).toArrow()
     return np.sort(top.column("word").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def single(batches):
+    """The rows of the batches, each made when it is asked for; what was freed meanwhile goes back to the system."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            give_back()
+
+
+def inverse(order: np.ndarray) -> np.ndarray:
+    """Where each place went, in 32 bits."""
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order), dtype=np.int32)
+    return out
+
+
+def kinds_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different values, place of each value among them in 32 bits, counts): np.unique with half its memory."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    kinds, first = ordered[new], np.flatnonzero(new)
+    del ordered
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return kinds, place, np.diff(first, append=len(new))
+
+
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words, place of each token's word) of a packed group."""
     wide = "<u2" if row["n_words"] <= 1 << 16 else "<u4"
-    return np.cumsum(unsqueeze(row["words"], (row["n_words"], "<u8"))[0], dtype=np.uint64), unsqueeze(row["sequence"], (row["n_tokens"], wide))[0].astype(np.int64)
+    return np.cumsum(unsqueeze(row["words"], (row["n_words"], "<u8"))[0], dtype=np.uint64), unsqueeze(row["sequence"], (row["n_tokens"], wide))[0].astype(np.int32)
 
 
 class Group:
@@ -215,24 +242,27 @@ class Group:
         at = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
         keys = np.where(common[at] == words, at.astype(np.uint64), words | MARK) if len(common) else words | MARK
         order = np.argsort(keys, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
+        rank = inverse(order)
         self.keys = keys[order]
         self.after = rank[after]
+        edge = rank[np.flatnonzero(words == EDGE)[0]]
+        del after, at, keys, rank, order
         self.lengths = np.frombuffer(row["lengths"], "<i8")
         self.begin = np.cumsum(self.lengths) - self.lengths
-        before = np.empty_like(self.after)
-        before[1:] = self.after[:-1]
-        before[self.begin] = rank[np.flatnonzero(words == EDGE)[0]]
         self.target = np.repeat(np.frombuffer(row["targets"], np.uint8), self.lengths)
-        kinds, back, self.n = np.unique(before * len(words) + self.after, return_inverse=True, return_counts=True)
-        a, b = kinds // len(words), kinds % len(words)
-        bucket = (pair_keys(self.keys[a], self.keys[b]) % K.U64(buckets)).astype(np.int64)
+        pairs = np.empty(len(self.after), np.int64)
+        pairs[1:] = self.after[:-1]
+        pairs[self.begin] = edge
+        pairs *= len(words)
+        pairs += self.after
+        kinds, back, n = kinds_of(pairs)
+        del pairs
+        a, b = (kinds // len(words)).astype(np.int32), (kinds % len(words)).astype(np.int32)
+        del kinds
+        bucket = (pair_keys(self.keys[a], self.keys[b]) % K.U64(buckets)).astype(np.int32)
         # In a block, bigrams of two coded words come first.
-        order = np.argsort(2 * bucket + (np.maximum(self.keys[a], self.keys[b]) >= MARK), kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.a, self.b, self.back, self.n = a[order], b[order], place[back], self.n[order]
+        order = np.argsort(2 * bucket.astype(np.int64) + (np.maximum(self.keys[a], self.keys[b]) >= MARK), kind="stable")
+        self.a, self.b, self.back, self.n = a[order], b[order], inverse(order)[back], n[order]
         self.bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
 
     def counted(self, what: np.ndarray, size: int) -> np.ndarray:
@@ -285,18 +315,19 @@ def ask_pairs(packs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     """Blocks of bigrams with their counts in a group, keyed by bucket."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                g = Group(row, np.frombuffer(shared.value, np.uint64), buckets)
-                t = g.counted(g.back, len(g.n))
-                out = []
-                for p in np.flatnonzero(np.diff(g.bounds)):
-                    own = slice(g.bounds[p], g.bounds[p + 1])
-                    out.append((PAIRS, int(p), row["m"], len(g.n[own]), *pair_block(g.keys[g.a[own]], g.keys[g.b[own]], g.n[own], t[own])))
-                    if len(out) == 64:
-                        yield block_batch(out)
-                        out = []
-                yield block_batch(out)
+        for row in single(batches):
+            g = Group(row, np.frombuffer(shared.value, np.uint64), buckets)
+            t = g.counted(g.back, len(g.n))
+            del g.after, g.back, g.target
+            out = []
+            for p in np.flatnonzero(np.diff(g.bounds)):
+                own = slice(g.bounds[p], g.bounds[p + 1])
+                out.append((PAIRS, int(p), row["m"], len(g.n[own]), *pair_block(g.keys[g.a[own]], g.keys[g.b[own]], g.n[own], t[own])))
+                if len(out) == 64:
+                    yield block_batch(out)
+                    out = []
+            yield block_batch(out)
+            del g, t, out, row
 
     return packs.mapInArrow(run, BLOCK)
 
@@ -321,7 +352,7 @@ def answer_pairs(asked: DataFrame, buckets: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [opened_pairs(r["blob"], r["size"], r["extra"]) for r in rows]
+        parts = [opened_pairs(r.pop("blob"), r["size"], r["extra"]) for r in rows]
         a, b, n, t = (np.concatenate(x) for x in zip(*parts))
         del parts
         first, back, (n, t) = summed([b, a], n, t)
@@ -341,6 +372,8 @@ def answer_pairs(asked: DataFrame, buckets: int) -> DataFrame:
         for q in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[q] : bounds[q + 1]]
             out.append((KINDS, int(q), rows[0]["key"], len(own), 0, squeeze(gaps(word[own]), *(x[own] for x in sums))))
+        del back, n, t, a, b
+        give_back()
         return pa.Table.from_batches([block_batch(out)])
 
     return asked.groupBy("key").applyInArrow(run, BLOCK)
@@ -350,16 +383,16 @@ def ask_words(packs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     """Blocks of words with their counts in a group, keyed by bucket."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                g = Group(row, np.frombuffer(shared.value, np.uint64), 1)
-                order, bounds = g.word_order(buckets)
-                n, t = np.bincount(g.after, minlength=len(g.keys)), g.counted(g.after, len(g.keys))
-                out = []
-                for q in np.flatnonzero(np.diff(bounds)):
-                    own = order[bounds[q] : bounds[q + 1]]
-                    out.append((WORD_COUNTS, int(q), row["m"], len(own), 0, squeeze(gaps(g.keys[own]), n[own].astype("<i8"), t[own].astype("<i8"))))
-                yield block_batch(out)
+        for row in single(batches):
+            g = Group(row, np.frombuffer(shared.value, np.uint64), 1)
+            order, bounds = g.word_order(buckets)
+            n, t = np.bincount(g.after, minlength=len(g.keys)), g.counted(g.after, len(g.keys))
+            out = []
+            for q in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[q] : bounds[q + 1]]
+                out.append((WORD_COUNTS, int(q), row["m"], len(own), 0, squeeze(gaps(g.keys[own]), n[own].astype("<i8"), t[own].astype("<i8"))))
+            yield block_batch(out)
+            del g, n, t, out, row
 
     return packs.mapInArrow(run, BLOCK)
 
@@ -422,14 +455,15 @@ def score(documents: DataFrame, target_ids: DataFrame, bucket_tokens: int = BUCK
         held = table.to_pylist()
         row = next(r for r in held if r["kind"] is None)
         g = Group(row, np.frombuffer(shared.value, np.uint64), buckets)
+        del g.after, g.target, row["words"], row["sequence"]
         order, bounds = g.word_order(buckets)
         pair = np.zeros((2, len(g.n)), np.int64)
         word = np.zeros((4, len(g.keys)), np.int64)
         for r in held:
             if r["kind"] == PAIRS:
-                pair[:, g.bounds[r["part"]] : g.bounds[r["part"] + 1]] = unsqueeze(r["blob"], *[(r["size"], "<i8")] * 2)
+                pair[:, g.bounds[r["part"]] : g.bounds[r["part"] + 1]] = unsqueeze(r.pop("blob"), *[(r["size"], "<i8")] * 2)
             elif r["kind"] == ANSWERS:
-                word[:, order[bounds[r["part"]] : bounds[r["part"] + 1]]] = unsqueeze(r["blob"], *[(r["size"], "<i8")] * 4)
+                word[:, order[bounds[r["part"]] : bounds[r["part"] + 1]]] = unsqueeze(r.pop("blob"), *[(r["size"], "<i8")] * 4)
         losses = []
         for c, every in ((1, totals["extra"]), (0, totals["size"])):
             # A word comes as often before another (or the edge) as after one.
@@ -437,9 +471,13 @@ def score(documents: DataFrame, target_ids: DataFrame, bucket_tokens: int = BUCK
             unigram = (word[c][g.b] + 1.0) / (every + known)
             # Of the weight of the bigrams, total / (total + kinds), the bigram has count / total.
             mixed = -np.log(np.where(total > 0, (pair[c] + kinds * unigram) / np.maximum(total + kinds, 1), unigram))
+            del total, kinds, unigram
             losses.append(np.add.reduceat(mixed[g.back], g.begin) / g.lengths)
+        lengths = g.lengths
+        del g, pair, word, mixed
+        give_back()
         ids = table.column("ids").combine_chunks().filter(table.column("kind").combine_chunks().is_null()).flatten()
-        return pa.table([ids, pa.array(g.lengths), *(pa.array(x) for x in losses), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        return pa.table([ids, pa.array(lengths), *(pa.array(x) for x in losses), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     blocks = told.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == ANSWERS))
     every = packs.unionByName(blocks.select(F.col("key").alias("m"), "kind", "part", "size", "blob"), allowMissingColumns=True)

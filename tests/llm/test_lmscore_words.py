@@ -42,3 +42,29 @@ def test_every_bigram_has_its_own_count(spark, hot):
     for i in range(0, 900, 37):
         assert got[i].n_tokens == 31
         assert got[i].target_loss == pytest.approx(near(texts[i]), rel=1e-9) and got[i].background_loss == pytest.approx(far(texts[i]), rel=1e-9)
+
+
+def test_memory_of_a_group():
+    """Opening a group of n tokens takes less than 100 n bytes at its highest, and every bigram keeps its count."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(5), 400_000
+    words = np.sort(np.concatenate([[lmscore.EDGE], rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)]))
+    place = rng.integers(0, len(words), n)
+    place[n // 2 - 1] = place[-1] = np.flatnonzero(words == lmscore.EDGE)[0]
+    row = {
+        "lengths": np.full(2, n // 2, "<i8").tobytes(), "targets": bytes([1, 0]), "n_words": len(words), "n_tokens": n,
+        "words": lmscore.squeeze(lmscore.gaps(words)), "sequence": lmscore.squeeze(place.astype("<u2")),
+    }
+    tracemalloc.start()
+    try:
+        g = lmscore.Group(row, words[::3].copy(), 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 * n
+    before = np.roll(place, 1)
+    before[0] = place[-1]
+    want, counts = np.unique(before * len(words) + place, return_counts=True)
+    assert len(g.n) == len(want) and g.n.sum() == n and sorted(g.n.tolist()) == sorted(counts.tolist())
+    assert (g.n[g.back] == counts[np.searchsorted(want, before * len(words) + place)]).all()
