@@ -67,7 +67,7 @@ def collect_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int | None = None) -> DataFrame:
     """Join; ``small`` is broadcast only when a count proves it small, else both sides shuffle."""
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)

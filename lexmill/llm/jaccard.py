@@ -18,9 +18,12 @@ shared with nobody, and with the sizes they bound the likeness of a pair from
 above. When few pairs of different parts are left, all of them are compared.
 Nothing is capped: the rounds only decide the order of comparisons.
 
-Rarity comes from counts of all shingles of all documents, kept in a table of
-fixed size; a shingle that the table shows to be unique needs no cell. Exact
-copies are one point. Distances are computed from whole texts.
+Rarity comes from counts of all shingles of all documents; a shingle that occurs
+once needs no cell. What is counted grows with the corpus and is neither
+broadcast nor sent to the driver: documents are packed into groups that ask
+once for each of their different shingles, and buckets of the hashes answer
+with the levels of the corpus's counts. Exact copies are one point. Distances
+are computed from whole texts.
 """
 
 from __future__ import annotations
@@ -29,21 +32,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import textkernel as K
-from lexmill.llm.common import collect_shuffles, cut, drop_cut, join_checked, sliced
+from lexmill.llm.common import collect_shuffles, cut, drop_cut, give_back, join_checked, sliced
+from lexmill.llm.lmscore import gaps, kinds_of, single, squeeze, unsqueeze
 
 #: Words of a shingle, and the likeness from which two sets link, in hundredths.
 WORDS = 4
 PERCENT = 85
-#: Slots of the count table (2 bits each), and blocks in which it is summed.
-SLOT_BITS = 27
-BLOCK_BITS = 21
-#: Slots that a task holds before it hands them on.
-HELD_SLOTS = 4_000_000
+#: Bits of a shingle's hash by which it is counted: of 10^10 different shingles one in a hundred shares its slot.
+SLOT_BITS = 40
+#: Shingles of a group, about (a longer text is a group by itself), and rows of a group, at most.
+GROUP_SHINGLES = 1_000_000
+GROUP_ROWS = 250_000
+#: Different shingles of all groups that a bucket counts, about.
+BUCKET_SHINGLES = 3_000_000
 #: Counts from which a slot has level 1, 2 and 3.
 LEVELS = (2, 16, 256)
 #: Followers that one task compares with a pivot before the pivot is replicated.
@@ -62,86 +67,138 @@ def links(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def count_table(texts: DataFrame, words: int) -> np.ndarray:
-    """Two bits for each slot of shingle hashes: how often it occurs over all documents (a document counts once)."""
-    blocks = 1 << (SLOT_BITS - BLOCK_BITS)
+def packed_sets(texts: DataFrame, words: int) -> DataFrame:
+    """Packed groups of (doc_id, _key, _text), made without moving a row: for each row its id, key, set size and digest of the set; the group's different slots with the rows that have them; and each row's places among the slots, as gaps."""
 
     def run(batches):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1)
-        held, n = [], 0
-
-        def flush():
-            slots = np.sort(np.concatenate(held))
-            bounds = np.searchsorted(slots, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(BLOCK_BITS))
-            ids, blobs = [], []
-            for b in range(blocks):
-                part = slots[bounds[b] : bounds[b + 1]] & np.uint32((1 << BLOCK_BITS) - 1)
-                if len(part):
-                    ids.append(b)
-                    blobs.append(squeeze.compress(np.diff(part, prepend=np.uint32(0)).astype("<u4").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["block", "slots"])
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held, ids, keys, sizes, nodes, size = [], [], [], [], [], 0
+
+        def packed():
+            every = np.concatenate(held)
+            held.clear()
+            slots, place, count = kinds_of(every)
+            del every
+            n = np.array(sizes, "<i8")
+            first = (np.cumsum(n) - n)[n > 0]
+            rise = np.diff(place, prepend=np.int32(0))
+            rise[first] = place[first]
+            lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(x))
+            blob = lambda x: pa.array([x], pa.binary())
+            whole = lambda x: pa.array([x], pa.int64())
+            counts = squeeze(np.minimum(count, 65_535).astype("<u2"))
+            arrays = [whole(number), lists(ids), lists(keys), blob(n.tobytes()), blob(b"".join(nodes)), whole(len(slots)), blob(squeeze(gaps(slots))), blob(counts), blob(squeeze(rise.astype("<u4")))]
+            return pa.RecordBatch.from_arrays(arrays, ["m", "ids", "keys", "sizes", "nodes", "n_slots", "slots", "counts", "places"])
 
         for batch in sliced(batches):
-            for s in K.shingle_sets(batch.column(0), words):
-                held.append((s >> K.U64(64 - SLOT_BITS)).astype(np.uint32))
-                n += len(s)
-            if n >= HELD_SLOTS:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
-
-    def total(batches):
-        import zstandard
-
-        open_up, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.cumsum(np.frombuffer(open_up.decompress(blob), "<u4"))
-                more = np.bincount(part.astype(np.int64), minlength=1 << BLOCK_BITS)
-                counts[block] = np.minimum(counts.get(block, 0) + more, 60_000).astype(np.uint16)
-        for block, c in counts.items():
-            level = sum((c >= x).astype(np.uint8) for x in LEVELS).reshape(-1, 4)
-            packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([squeeze.compress(packed.tobytes())], pa.binary())], ["block", "levels"])
-
-    import zstandard
-
-    out = np.zeros((blocks, 1 << (BLOCK_BITS - 2)), np.uint8)
-    parts = texts.select("_text").mapInArrow(run, "block long, slots binary").repartition(blocks, "block")
-    for r in parts.mapInArrow(total, "block long, levels binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["levels"])), np.uint8)
-    return out.ravel()
-
-
-def points(texts: DataFrame, shared: Broadcast, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, u, node, pivots, text): size, number of unique shingles, digest of the set, and the pivots in its window that are not unique.
-
-    ``shared`` is the count table. Only documents with such pivots keep their text.
-    """
-
-    def run(batches):
-        levels = np.frombuffer(shared.value, np.uint8)
-        for batch in sliced(batches):
-            sizes, unique, nodes, pivots, kept = [], [], [], [], []
-            for i, s in enumerate(K.shingle_sets(batch.column(1), words)):
-                slot = (s >> K.U64(64 - SLOT_BITS)).astype(np.int64)
-                level = levels[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & 3
-                first = np.argsort(level, kind="stable")[: int(window(len(s), percent)) if len(s) else 0]
-                first = first[level[first] > 0]
-                sizes.append(len(s))
-                unique.append(int((level == 0).sum()))
-                nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                pivots.append(s[first].view(np.int64))
-                kept.append(batch.column(1)[i].as_py() if len(first) else None)
-            lengths = np.array([len(p) for p in pivots], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(pivots) if pivots else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(unique, pa.int64()), pa.array(nodes, pa.binary()), lists, pa.array(kept, pa.string())], ["doc_id", "n", "u", "node", "pivots", "text"])
-
-    return texts.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, u long, node binary, pivots array<long>, text string")
+            row = 0
+            for i, s in enumerate(K.shingle_sets(batch.column(2), words)):
+                held.append(s >> K.U64(64 - SLOT_BITS)), sizes.append(len(s)), nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                size += len(s)
+                if size >= GROUP_SHINGLES or len(sizes) >= GROUP_ROWS or i == batch.num_rows - 1:
+                    ids.append(batch.column(0).slice(row, i + 1 - row)), keys.append(batch.column(1).slice(row, i + 1 - row))
+                    row = i + 1
+                if size >= GROUP_SHINGLES or len(sizes) >= GROUP_ROWS:
+                    yield packed()
+                    held, ids, keys, sizes, nodes, size, number = [], [], [], [], [], 0, number + 1
+                    give_back()
+        if sizes:
+            yield packed()
+
+    schema = "m long, ids array<long>, keys array<long>, sizes binary, nodes binary, n_slots long, slots binary, counts binary, places binary"
+    return texts.select("doc_id", "_key", "_text").mapInArrow(run, schema)
+
+
+def opened_slots(row: dict) -> np.ndarray:
+    return np.cumsum(unsqueeze(row["slots"], (row["n_slots"], "<u8"))[0], dtype=np.uint64)
+
+
+def told_levels(packs: DataFrame, buckets: int) -> DataFrame:
+    """(m, part, size, blob): for each group and bucket the levels of the group's slots there, by their counts over all groups (a row counts once). ``buckets`` is a power of two."""
+    bounds = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(SLOT_BITS - buckets.bit_length() + 1)
+
+    def ask(batches):
+        for row in single(batches):
+            slots = opened_slots(row)
+            (count,) = unsqueeze(row["counts"], (len(slots), "<u2"))
+            at = np.searchsorted(slots, bounds)
+            full = np.flatnonzero(np.diff(at))
+            for some in range(0, len(full), 64):
+                own = [slice(at[p], at[p + 1]) for p in full[some : some + 64]]
+                blobs = [squeeze(gaps(slots[x])) for x in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full[some : some + 64], pa.int64()), pa.array([row["m"]] * len(own), pa.int64()), pa.array([x.stop - x.start for x in own], pa.int64()), pa.array(blobs, pa.binary()), pa.array([squeeze(count[x]) for x in own], pa.binary())],
+                    ["part", "m", "size", "slots", "counts"],
+                )
+
+    def answer(table: pa.Table) -> pa.Table:
+        m, size = table.column("m"), table.column("size").to_pylist()
+        slots = np.concatenate([np.cumsum(unsqueeze(x.as_py(), (n, "<u8"))[0], dtype=np.uint64) for x, n in zip(table.column("slots"), size)])
+        count = np.concatenate([unsqueeze(x.as_py(), (n, "<u2"))[0] for x, n in zip(table.column("counts"), size)])
+        _, place, _ = kinds_of(slots)
+        del slots
+        total = np.bincount(place, count)
+        level = sum((total >= x).astype(np.uint8) for x in LEVELS)[place]
+        ends = np.cumsum(size)
+        blobs = [squeeze(level[end - n : end]) for n, end in zip(size, ends)]
+        del place, total, level, count
+        give_back()
+        return pa.table([m, table.column("part"), table.column("size"), pa.array(blobs, pa.binary())], ["m", "part", "size", "blob"])
+
+    asked = packs.select("m", "n_slots", "slots", "counts").mapInArrow(ask, "part long, m long, size long, slots binary, counts binary")
+    return asked.groupBy("part").applyInArrow(answer, "m long, part long, size long, blob binary")
+
+
+def points(packs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, key, n, u, node, pivots) of every row: size, number of unique shingles, digest of the set, and the slots of the pivots in its window that are not unique."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["part"] is None)
+        answers = sorted((r for r in rows if r["part"] is not None), key=lambda r: r["part"])
+        del rows
+        slots = opened_slots(row)
+        levels = np.concatenate([unsqueeze(r["blob"], (r["size"], "|u1"))[0] for r in answers] or [np.zeros(0, np.uint8)])
+        n = np.frombuffer(row["sizes"], "<i8")
+        begin = np.cumsum(n) - n
+        (rise,) = unsqueeze(row["places"], (int(n.sum()), "<u4"))
+        place = np.cumsum(rise, dtype=np.int64)
+        first = begin[n > 0]
+        place -= np.repeat(place[first] - rise[first], n[n > 0])
+        level = levels[place]
+        once = np.concatenate([[0], np.cumsum(level == 0)])
+        widths, pivots = window(n, percent), []
+        for i in range(len(n)):
+            own = level[begin[i] : begin[i] + n[i]]
+            chosen = np.argsort(own, kind="stable")[: widths[i]] if n[i] else np.zeros(0, np.int64)
+            pivots.append(np.unique(slots[place[begin[i] + chosen[own[chosen] > 0]]]))
+        lengths = np.array([len(p) for p in pivots], np.int64)
+        flat = np.concatenate(pivots).astype(np.int64) if pivots else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
+        nodes = pa.array([row["nodes"][16 * i : 16 * i + 16] for i in range(len(n))], pa.binary())
+        ids, keys, u = pa.array(row["ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(once[begin + n] - once[begin])
+        del place, level, once, levels, slots, row, answers, rise
+        give_back()
+        return pa.table([ids, keys, pa.array(n), u, nodes, lists], ["doc_id", "key", "n", "u", "node", "pivots"])
+
+    every = packs.unionByName(told, allowMissingColumns=True)
+    return every.groupBy("m").applyInArrow(run, "doc_id long, key long, n long, u long, node binary, pivots array<long>")
+
+
+def counted_points(texts: DataFrame, words: int, percent: int, bucket: int | None = None) -> DataFrame:
+    """The points of (doc_id, _key, _text); buckets count about ``bucket`` shingles."""
+    packs = cut(packed_sets(texts, words))
+    asked = packs.agg(F.sum("n_slots")).first()[0] or 0
+    buckets = 1 << max(0, -(-asked // (bucket or BUCKET_SHINGLES)) - 1).bit_length()
+    told = cut(told_levels(packs, buckets))
+    collect_shuffles(texts.sparkSession)
+    found = cut(points(packs, told, percent))
+    drop_cut(packs)
+    drop_cut(told)
+    collect_shuffles(texts.sparkSession)
+    return found
 
 
 #: What is known of a member: size, unique shingles, and how it differs from its pivot p (of n_p shingles):
@@ -324,19 +381,18 @@ def link_classes(documents: DataFrame, words: int = WORDS, percent: int = PERCEN
     one point. Rows that share an id but not a text are different points. Extra
     columns are ignored; an empty table gives no rows.
     """
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("_text"))
-    shared = documents.sparkSession.sparkContext.broadcast(count_table(texts, words).tobytes())
-    found = cut(points(texts, shared, words, percent))
-    shared.destroy()
+    text = F.col(text_column).cast("string")
+    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
+    found = counted_points(texts, words, percent)
     met = found.where(F.size("pivots") > 0)
     # Exact copies are one point; points get numbers, which the written table fixes.
-    made = met.groupBy(F.col("node").alias("digest")).agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("pivots").alias("pivots"))
+    made = met.groupBy(F.col("node").alias("digest")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("key").alias("_key"))).alias("who"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("pivots").alias("pivots"))
     numbered = cut(made.withColumn("node", F.monotonically_increasing_id()))
     entries = numbered.select("node", "n", "u", F.explode("pivots").alias("pivot"))
     crowded = entries.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot")
     cells = cut(entries.join(crowded, "pivot").select("pivot", "node", "n", "u"))
-    involved = numbered.select("node", "digest", "doc_id").join(cells.select("node").distinct(), "node")
-    own = met.select(F.col("node").alias("digest"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").join(involved, ["digest", "doc_id"]).select("node", "text")
+    involved = cut(numbered.select("node", "who.*").join(cells.select("node").distinct(), "node"))
+    own = join_checked(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), involved, ["doc_id", "_key"], "inner").select("node", F.col("_text").alias("text"))
     parts = join_cells(cells, cut(own), words, percent).join(numbered.select("node", "digest"), "node").select(F.col("digest").alias("node"), "part")
     classes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     classes = classes.join(parts, "node", "left")
