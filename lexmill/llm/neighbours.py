@@ -2,12 +2,12 @@
 
 Vectors are scaled to length one, turned into a longer space by a fixed random
 rotation and kept as sign bits with one correction scalar. Codes are made once
-and packed into chunks where the vectors lie; only codes travel to the queries.
-A query's inner product with a code, divided by the scalar, estimates the
-cosine; the scalar also bounds the error. A chunk reports the vectors whose
-upper bound reaches its k-th best lower bound; those that also reach the k-th
-best lower bound of all chunks are fetched and reranked with their original
-components.
+where the vectors lie and packed into chunks with them; blocks of queries come
+to the chunks. A query's inner product with a code, divided by the scalar,
+estimates the cosine; the scalar also bounds the error. The vectors of a chunk
+whose upper bound reaches its k-th best lower bound are reranked there with
+their original components, and the k best leave the chunk: k rows a query and
+chunk, however many copies of a vector there are.
 
 All codes are scanned for each block of queries. Lists around centroids would
 not do: on vectors without clusters, such as those of the shared tables, the
@@ -16,21 +16,27 @@ true neighbours lie in 35 of 100 lists for a recall of 0.9.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, sliced
+from lexmill.llm.common import cut, give_back, sliced
 
-#: Codes in a chunk and queries in a block, at most: a task holds one of each.
+#: Codes in a chunk and bytes of its vectors, at most; queries in a block, at least: a task holds one of each.
 CHUNK = 16384
+CHUNK_BYTES = 16 << 20
 BLOCK = 512
 #: Bits of a code, at least; more bits make estimates closer.
 BITS = 512
 #: Error bound in standard deviations of the estimate; larger reranks more.
 EPSILON = 3.0
-#: Bytes of query vectors that are broadcast, at most.
+#: Queries whose estimates are held at once, and components of pairs that are reranked at once.
+TOGETHER = 128
+PAIR_NUMBERS = 1 << 20
+#: Bytes of query vectors in a block, about; a block is broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -69,27 +75,31 @@ def cosine(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return (rows * queries).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((queries * queries).sum(1)))
 
 
-def search_chunk(ids: np.ndarray, bits: np.ndarray, own: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query_id, vec_id, high, low) of the codes of a chunk that may be among a query's k nearest; ``low`` only of its k best lower bounds."""
+def search_chunk(ids: np.ndarray, bits: np.ndarray, own: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """(query_id, vec_id, score) of the k nearest of a chunk for each query, among those whose codes allow it; ties to smaller ids."""
     turn = rotation(queries.shape[1])
     unit = unit_rows(queries)
-    for first in range(0, len(queries), 64):
-        part = slice(first, first + 64)
+    for first in range(0, len(queries), TOGETHER):
+        part = slice(first, first + TOGETHER)
         estimated, bound = np.empty((len(unit[part]), len(ids)), np.float32), np.empty(len(ids), np.float32)
         for at in range(0, len(ids), 4096):
             some = slice(at, at + 4096)
             estimated[:, some], bound[some] = estimate(bits[some], own[some], unit[part], turn)
-        low = estimated - bound
-        low[query_ids[part, None] == ids] = -np.inf
-        high = estimated + bound
-        high[query_ids[part, None] == ids] = -np.inf
+        estimated[query_ids[part, None] == ids] = -np.inf
         if len(ids) > k:
-            least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
+            least = np.partition(estimated - bound, len(ids) - k, axis=1)[:, len(ids) - k]
         else:
-            least = np.full(len(low), -np.inf, np.float32)
-        query, code = np.nonzero((high >= least[:, None]) & (high > -np.inf))
-        best = low[query, code]
-        yield query_ids[part][query], ids[code], high[query, code], np.where(best >= least[query], best, np.nan)
+            least = np.full(len(estimated), -np.inf, np.float32)
+        estimated += bound
+        query, code = np.nonzero((estimated >= least[:, None]) & (estimated > -np.inf))
+        score, step = np.empty(len(query)), max(1, PAIR_NUMBERS // queries.shape[1])
+        for at in range(0, len(query), step):
+            some = slice(at, at + step)
+            score[some] = cosine(vectors[code[some]], queries[part][query[some]])
+        order = np.lexsort((ids[code], -score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        best = order[place < k]
+        yield query_ids[part][query[best]], ids[code[best]], score[best]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -108,7 +118,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def code_chunks(rows: DataFrame) -> DataFrame:
-    """(chunk, dim, n, ids, bits, own): packed codes of the rows, made where the rows lie."""
+    """(chunk, dim, n, ids, bits, own, vectors): packed codes of the rows with their components, made where the rows lie."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -117,10 +127,10 @@ def code_chunks(rows: DataFrame) -> DataFrame:
 
         def packed(dim):
             nonlocal number
-            ids, bits, own = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            ids, x, bits, own = (np.concatenate(part) for part in zip(*held.pop(dim)))
             number += 1
             blob = lambda x: pa.array([x.tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int64()), blob(ids.astype("<i8")), blob(bits), blob(own.astype("<f8"))], ["chunk", "dim", "n", "ids", "bits", "own"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int64()), blob(ids.astype("<i8")), blob(bits), blob(own.astype("<f8")), blob(x.astype("<f8"))], ["chunk", "dim", "n", "ids", "bits", "own", "vectors"])
 
         for batch in sliced(batches, 4096):
             ids, vectors = batch.column(0).to_numpy(), batch.column(1)
@@ -128,28 +138,28 @@ def code_chunks(rows: DataFrame) -> DataFrame:
             ends = np.cumsum(sizes)
             for dim in np.unique(sizes).tolist():
                 mine = np.flatnonzero(sizes == dim)
-                x = unit_rows(flat[(ends[mine] - dim)[:, None] + np.arange(dim)])
-                held.setdefault(dim, []).append((ids[mine], *encode(x, rotation(dim))))
-                if sum(len(h[0]) for h in held[dim]) > CHUNK - 4096:
+                x = flat[(ends[mine] - dim)[:, None] + np.arange(dim)]
+                held.setdefault(dim, []).append((ids[mine], x, *encode(unit_rows(x), rotation(dim))))
+                size = sum(len(h[0]) for h in held[dim])
+                if size > CHUNK - 4096 or 8 * dim * size > CHUNK_BYTES // 2:
                     yield packed(dim)
         for dim in list(held):
             yield packed(dim)
 
-    return rows.mapInArrow(run, "chunk long, dim int, n long, ids binary, bits binary, own binary")
-
-
-def query_blocks(asked: DataFrame, blocks: int) -> DataFrame:
-    """(block, dim, query_ids, queries): packed query vectors."""
+    return rows.mapInArrow(run, "chunk long, dim int, n long, ids binary, bits binary, own binary, vectors binary")
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, v = table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
-        data = v.flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        data = data.reshape(len(ids), -1)[order]
-        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), pa.array([data.shape[1]], pa.int32()), pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([data.astype("<f8").tobytes()], pa.binary())], ["block", "dim", "query_ids", "queries"])
 
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")).withColumn("dim", F.size("v"))
-    return dealt.groupBy("block", "dim").applyInArrow(run, "block long, dim int, query_ids binary, queries binary")
+def by_dimension(asked: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{dimension: (ids, vectors)} of a block of queries, by rising id."""
+    table = asked.select("vec_id", "v").toArrow().combine_chunks()
+    ids, v = table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
+    sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False)
+    ends, out = np.cumsum(sizes), {}
+    for dim in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == dim)
+        mine = mine[np.argsort(ids[mine], kind="stable")]
+        out[dim] = ids[mine], flat[(ends[mine] - dim)[:, None] + np.arange(dim)]
+    return out
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -165,44 +175,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     rows, asked = usable(vectors, id_column, vector_column), usable(queries, id_column, vector_column)
     asked = cut(asked.groupBy("vec_id").agg(F.min("v").alias("v")))
     facts = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
-    small = 8 * facts["numbers"] <= BROADCAST_BYTES
-    blocks = max(1, -(-facts["n"] // BLOCK))
-    sought = cut(query_blocks(asked, blocks))
+    blocks = max(1, min(-(-8 * facts["numbers"] // max(1, BROADCAST_BYTES)), -(-facts["n"] // BLOCK)))
     codes = cut(code_chunks(rows))
-    meets = codes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                n, dim = row["n"], row["dim"]
-                bits = np.frombuffer(row["bits"], np.uint8).reshape(n, -1)
-                found = search_chunk(np.frombuffer(row["ids"], "<i8"), bits, np.frombuffer(row["own"], "<f8"), np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["queries"], "<f8").reshape(-1, dim), k)
-                for query, code, high, low in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(code, pa.int64()), pa.array(high), pa.array(low, from_pandas=True)], ["query_id", "vec_id", "high", "low"])
-
-    parts = max(1, codes.count()) * blocks
-    pairs = meets.repartition(parts, "chunk", "block").join(F.broadcast(sought) if small else sought, ["block", "dim"])
-    found = cut(pairs.select("dim", "n", "ids", "bits", "own", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, high float, low float"))
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    least = found.where("low is not null").select("query_id", "low").withColumn("_place", F.row_number().over(by_low)).where(F.col("_place") == k).select("query_id", F.col("low").alias("least"))
-    chosen = found.join(F.broadcast(least) if small else least, "query_id", "left").where("least is null or high >= least").select("query_id", "vec_id").distinct()
-    with_query = chosen.join(F.broadcast(asked) if small else asked, chosen["query_id"] == asked["vec_id"]).select("query_id", chosen["vec_id"], F.col("v").alias("q"))
-    both = with_query.join(rows, "vec_id").where(F.size("v") == F.size("q")).select("query_id", "vec_id", "q", "v")
-
-    def rerank(batches):
-        for batch in sliced(batches, 4096):
-            if batch.num_rows:
-                sizes = np.diff(batch.column("v").offsets.to_numpy())
-                score = np.empty(batch.num_rows)
-                q, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q", "v"))
-                ends = np.cumsum(sizes)
-                for dim in np.unique(sizes).tolist():
-                    mine = np.flatnonzero(sizes == dim)
-                    at = (ends[mine] - dim)[:, None] + np.arange(dim)
-                    score[mine] = cosine(v[at], q[at])
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    scored = both.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    dealt = codes.repartition(max(1, codes.count()))
+
+    def scan(sought) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                    n, dim = row["n"], row["dim"]
+                    if dim in sought.value:
+                        bits, x = np.frombuffer(row["bits"], np.uint8).reshape(n, -1), np.frombuffer(row["vectors"], "<f8").reshape(n, dim)
+                        for found in search_chunk(np.frombuffer(row["ids"], "<i8"), bits, np.frombuffer(row["own"], "<f8"), x, *sought.value[dim], k):
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+            give_back()
+
+        return dealt.select("dim", "n", "ids", "bits", "own", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
+
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    send = vectors.sparkSession.sparkContext.broadcast
+    scored = reduce(DataFrame.unionByName, [scan(send(by_dimension(asked.where(block == b)))) for b in range(blocks)])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

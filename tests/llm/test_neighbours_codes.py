@@ -57,3 +57,27 @@ def test_repeats_and_empty_tables(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.nearest(d, d.where("vec_id in (1, 3, 4)")).collect())
     assert got == [(1, 1, 2, round(0.5**0.5, 9)), (1, 2, 2, round(0.5**0.5, 9))]
     assert neighbours.nearest(d.where("false"), d).count() == 0 and neighbours.nearest(d, d.where("false")).count() == 0
+
+
+def test_copies_leave_a_chunk_k_times(spark):
+    """A chunk gives k rows a query, with 4,000 copies of one vector and near copies of another; ties go to the smaller ids."""
+    x = np.random.default_rng(11).standard_normal((6000, 16))
+    x[500:4500] = x[0]
+    x[4500:5500] = x[1] + 1e-9 * x[4500:5500]
+    ids = np.arange(6000) * 2
+    asked = np.concatenate([ids[:4500:150], ids[4500:5500:100], ids[-3:]])
+    d = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(2)
+    chunks = neighbours.code_chunks(neighbours.usable(d, "vec_id", "embedding")).collect()
+    for c in chunks:
+        of, dim, queries = np.frombuffer(c["ids"], "<i8"), c["dim"], x[asked // 2]
+        parts = list(neighbours.search_chunk(of, np.frombuffer(c["bits"], np.uint8).reshape(len(of), -1), np.frombuffer(c["own"], "<f8"), np.frombuffer(c["vectors"], "<f8").reshape(-1, dim), asked, queries, 5))
+        assert sum(len(q) for q, _, _ in parts) == 5 * len(asked)
+    got = {}
+    for r in neighbours.nearest(d, d.where(F.col("vec_id").isin([int(a) for a in asked]))).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in asked.tolist():
+        score = neighbours.cosine(x, np.repeat(x[q // 2][None], len(x), 0))
+        score[q // 2] = -9
+        want = np.lexsort((ids, -score))[:5]
+        assert [v for _, v, _ in sorted(got[q])] == ids[want].tolist()
+        assert [s for _, _, s in sorted(got[q])] == score[want].tolist()
