@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,85 +24,73 @@ from lexmill.llm.common import cut, persistent, sliced
 GROUP_DOCS = 2048
 #: Words that a task keeps before it starts anew.
 WORDS_KEPT = 500_000
-#: New words encoded in one call.
-TOGETHER = 2048
 #: Latin-1 letters, then marks: neither letters nor digits nor white space.
 LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 END_ID = 1
 
 
+class KnownWords(dict):
+    """Ids of words, made when a word is first asked for.
+
+    The tokenizer parts letters from marks, so most words are a stem, or a stem
+    and marks. A stem of Latin-1 letters in lower case is one piece to it, as it
+    stands, so its model alone is asked.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # How the model spells Latin-1 letters beyond ASCII.
+        beyond = [chr(c) for c in range(0x80, 0x100) if chr(c).isalpha()]
+        self.spelled = str.maketrans({c: "".join(piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in beyond})
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and word.islower() and (word.isascii() or max(word) <= "\xff"):
+            ids = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))]).tobytes()
+        else:
+            m = LETTERS_THEN_MARKS.fullmatch(word)
+            ids = self[m[1]] + self[m[2]] if m else self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Ids of texts, each distinct word encoded once.
 
     The tokenizer drops white space and never joins what white space parts,
-    so a text's ids are those of its words, one after the other. New words of
-    a batch are encoded together, as one text, and told apart by the
-    tokenizer's own word numbers.
+    so a text's ids are those of its words, one after the other.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of Latin-1 words in lower case into ``known``.
-
-        The tokenizer parts letters from marks, so most words are a stem, or a
-        stem and marks.
-        """
-        known = self.known
-        stems = {w for w in words if w.isalpha()}
-        parts = []
-        for word in words - stems:
-            m = LETTERS_THEN_MARKS.fullmatch(word)
-            if m is None:
-                known[word] = self.encode(word)
-            else:
-                parts.append((word, *m.groups()))
-        stems.update(stem for _, stem, _ in parts)
-        fresh = list(stems - known.keys())
-        for first in range(0, len(fresh), TOGETHER):
-            some = fresh[first : first + TOGETHER]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            at = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))).tolist()
-            known.update({stem: ids[i:j] for stem, i, j in zip(some, at, at[1:])})
-        for word, stem, marks in parts:
-            if marks not in known:
-                known[marks] = self.encode(marks)
-            known[word] = known[stem] + known[marks]
+        self.known = KnownWords(Tokenizer.from_file(path))
+        self.encode = self.known.encode
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """All ids of each text.
 
-        In Latin-1 lower case is letter by letter, as the tokenizer has it; of
-        other texts each new word is encoded alone. str.split also splits at
-        x1C-x1F, which the tokenizer keeps, so texts that hold those go whole.
+        In Latin-1 lower case is letter by letter, as the tokenizer has it; the
+        words of other texts stay as they are. str.split also splits at x1C-x1F,
+        which the tokenizer keeps, so texts that hold those go whole.
         """
-        plain, others, words = set(), set(), []
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        find, out = self.known.__getitem__, []
         for text in texts:
             if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                words.append(None)
+                out.append(self.encode(text))
                 continue
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                words.append(text.split())
-                others.update(words[-1])
+                words = text.split()
             else:
-                words.append(text.lower().split())
-                plain.update(words[-1])
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self.learn(plain - self.known.keys())
-        self.known.update({w: self.encode(w) for w in others - self.known.keys()})
-        find = self.known.__getitem__
-        return [self.encode(t) if w is None else b"".join(map(find, w)) for t, w in zip(texts, words)]
+                words = text.lower().split()
+            out.append(b"".join(map(find, words)))
+        return out
 
 
 def word_ids(path: str) -> WordIds:
