@@ -33,31 +33,75 @@ def development_sessions(sessions: DataFrame, fraction: float, seed: str) -> Dat
     return several.unionByName(single.where("chosen + sum_before < whole").select("airport", "recorded_date", "seconds"))
 
 
-def first_reaching(sizes: list[int], most: int, stop_at: int | None = None) -> np.ndarray:
-    """For every sum up to ``most``, the place of the item whose turn first made it reachable; -1 for sums out of reach.
+class FirstReaching:
+    """For every sum up to ``most``, the place of the item whose turn first made it reachable.
 
     Items have their turns in order and count once. Sum 0 is reachable before
     the first turn and holds the number of items. Following a sum down, each
-    time less the size of its item, spells out its subset.
+    time less the size of its item, spells out its subset. Reachable sums are
+    listed while they are few against ``most``, however large they are; once
+    they are many, one small number is kept for every sum.
     """
-    reached_by = np.full(most + 1, -1, np.int64)
-    reached_by[0] = len(sizes)
-    for place, size in enumerate(sizes):
-        if 0 < size <= most:
-            fresh = np.flatnonzero((reached_by[:-size] >= 0) & (reached_by[size:] < 0)) + size
-            reached_by[fresh] = place
-            if stop_at is not None and reached_by[stop_at] >= 0:
-                break
-    return reached_by
-
-
-def spelled_out(reached_by: np.ndarray, sizes: list[int], total: int) -> list[int]:
-    """Places, in order, of the items that make up ``total``."""
-    places = []
-    while total:
-        places.append(int(reached_by[total]))
-        total -= sizes[places[-1]]
-    return places[::-1]
+
+    #: Sums that are looked at together.
+    STEP = 1 << 20
+
+    def __init__(self, sizes: list[int], most: int, stop_at: int | None = None):
+        self.sizes, self.table = sizes, None
+        self.sums, self.places = np.zeros(1, np.int64), np.array([len(sizes)], np.int32)
+        for place, size in enumerate(sizes):
+            if 0 < size <= most:
+                if self.table is None and len(self.sums) > max(most >> 5, 1 << 12):
+                    self.table = np.full(most + 1, -1, np.int16 if len(sizes) < 1 << 15 else np.int32)
+                    self.table[self.sums] = self.places
+                    self.sums = self.places = None
+                (self._list if self.table is None else self._mark)(place, size, most)
+                if stop_at is not None and self.place_of(stop_at) >= 0:
+                    break
+
+    def _list(self, place: int, size: int, most: int) -> None:
+        fresh = self.sums[: np.searchsorted(self.sums, most - size, "right")] + size
+        at = np.searchsorted(self.sums, fresh)
+        new = self.sums[np.minimum(at, len(self.sums) - 1)] != fresh
+        self.sums, self.places = np.insert(self.sums, at[new], fresh[new]), np.insert(self.places, at[new], place)
+
+    def _mark(self, place: int, size: int, most: int) -> None:
+        # From above, so that no sum counts the item twice.
+        for last in range(most + 1, size, -self.STEP):
+            first = max(size, last - self.STEP)
+            below, here = self.table[first - size : last - size], self.table[first:last]
+            here[(below >= 0) & (below != place) & (here < 0)] = place
+
+    def place_of(self, total: int) -> int:
+        """-1 for a sum out of reach."""
+        if self.table is not None:
+            return int(self.table[total]) if 0 <= total < len(self.table) else -1
+        at = np.searchsorted(self.sums, total)
+        return int(self.places[at]) if at < len(self.sums) and self.sums[at] == total else -1
+
+    def near(self, target: int, without: tuple[int, ...] = ()) -> list[int]:
+        """The reachable sums that are nearest to ``target``, rising: one, two or none."""
+        if self.table is None:
+            sums = self.sums[~np.isin(self.sums, without)]
+            away = np.abs(sums - target)
+            return [int(s) for s in sums[away == away.min()]] if len(sums) else []
+        size = len(self.table)
+        for away in range(0, max(target + 1, size - target), self.STEP):
+            found = []
+            for first, last in {(max(0, target - away - self.STEP), target - away + 1), (target + away, target + away + self.STEP + 1)}:
+                found += [s for s in (np.flatnonzero(self.table[max(0, first) : max(0, last)] >= 0) + max(0, first)).tolist() if s not in without]
+            if found:
+                least = min(abs(s - target) for s in found)
+                return sorted({s for s in found if abs(s - target) == least})
+        return []
+
+    def spelled_out(self, total: int) -> list[int]:
+        """Places, in order, of the items that make up ``total``."""
+        places = []
+        while total:
+            places.append(self.place_of(total))
+            total -= self.sizes[places[-1]]
+        return places[::-1]
 
 
 def nearest_subset(ticks: list[int], target: int, whole_allowed: bool = True, tie=None) -> list[int]:
@@ -66,13 +110,12 @@ def nearest_subset(ticks: list[int], target: int, whole_allowed: bool = True, ti
     Of two sums as near, the one whose places have the smaller ``tie`` (a
     function of them) is taken; without it, the smaller sum.
     """
-    reached_by = first_reaching(ticks, target + max(ticks, default=0))
-    sums = np.flatnonzero(reached_by >= 0)
-    sums = sums[(sums > 0) & (whole_allowed | (sums != sum(ticks)))]
-    if not len(sums):
+    without = (0,) if whole_allowed else (0, sum(ticks))
+    # Where the target itself is reached, later turns change nothing.
+    reached = FirstReaching(ticks, target + max(ticks, default=0), None if target in without else target)
+    near = [reached.spelled_out(s) for s in reached.near(target, without)]
+    if not near:
         return []
-    away = np.abs(sums - target)
-    near = [spelled_out(reached_by, ticks, int(s)) for s in sums[away == away.min()]]
     return min(near, key=tie) if tie else near[0]
 
 
@@ -99,5 +142,5 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     """Places of the items that fill the capacity best; of equal fills the one reached earliest in the list."""
     if capacity < 0 or min(lengths, default=0) < 0:
         raise ValueError("lengths and capacity must not be negative")
-    reached_by = first_reaching(lengths, capacity, stop_at=capacity)
-    return spelled_out(reached_by, lengths, int(np.flatnonzero(reached_by >= 0)[-1]))
+    reached = FirstReaching(lengths, capacity, stop_at=capacity)
+    return reached.spelled_out(reached.near(capacity)[0])
