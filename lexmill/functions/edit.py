@@ -3,104 +3,209 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-#: Code points that stand for words start here: a private plane with room for 65,000 different words in a pair.
-_FIRST = 0xF0000
 #: Words from which a pair is aligned by itself.
-LONG = 48
+LONG = 65
+#: Pairs that are aligned together.
+TOGETHER = 2048
+#: Words that a task holds with their counts.
+SUMMED = 500_000
 
 
 def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def edit_distance(reference: Column, hypothesis: Column) -> Column:
-    """Unit-cost distance of two word arrays, in the JVM.
+def _coded(reference: pa.Array, hypothesis: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two arrays of word lists as (codes, lengths) each, end to end; equal words of the batch have equal codes, a null list is empty."""
+    sides = reference, hypothesis
+    flat = [x.flatten() for x in sides]
+    codes = pa.concat_arrays(flat).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    n, m = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in sides)
+    return codes[: len(flat[0])], n, codes[len(flat[0]) :], m
 
-    Each distinct word of the pair becomes one character; the built-in
-    character distance is then the word distance.
-    """
 
-    def distance(known, letter):
-        spelled = lambda words: F.array_join(F.transform(words, lambda w: letter(F.array_position(known, w))), "")
-        return F.levenshtein(spelled(reference), spelled(hypothesis))
+def _listed(pairs: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _coded(*(pa.array([list(p[side]) for p in pairs], pa.list_(pa.string())) for side in (0, 1)))
 
-    def chosen(known):
-        wide = distance(known, lambda place: F.decode(F.unhex(F.lpad(F.hex((place + _FIRST).cast("long")), 8, "0")), "UTF-32"))
-        # The cheap one-byte characters reach as far as 255 different words; longer pairs take the private plane.
-        return F.when(F.size(known) < 256, distance(known, F.chr)).otherwise(wide)
 
-    return let(F.array_union(reference, hypothesis), chosen).cast("long")
+def _slices(n: np.ndarray, m: np.ndarray):
+    """(first, last) of consecutive pairs: long ones one by one, others up to ``TOGETHER``."""
+    long = np.flatnonzero((n >= LONG) | (m >= LONG)).tolist()
+    first = 0
+    for stop in [*long, len(n)]:
+        for i in range(first, stop, TOGETHER):
+            yield i, min(i + TOGETHER, stop)
+        if stop < len(n):
+            yield stop, stop + 1
+        first = stop + 1
 
 
-def paths(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
-    """The preferred alignment of each pair, as ``path_of`` has it.
+def _padded(codes: np.ndarray, lengths: np.ndarray, width: int, fill: int) -> np.ndarray:
+    out = np.full((len(lengths), width), fill, np.int32)
+    out[np.arange(width) < lengths[:, None]] = codes
+    return out
 
-    Short pairs of like size advance together, a row of all their tables at a
-    time, and their paths are read back together; long ones go one by one.
-    """
-    out = [""] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda i: (max(map(len, pairs[i])), len(pairs[i][0])))
-    first = 0
-    while first < len(order):
-        size = max(map(len, pairs[order[first]]))
-        if size > LONG:
-            out[order[first]] = path_of(*pairs[order[first]])
-            first += 1
-            continue
-        last = first + 1
-        while last < len(order) and last - first < 1024 and max(map(len, pairs[order[last]])) <= min(LONG, size + 8):
-            last += 1
-        for i, path in zip(order[first:last], _paths_together([pairs[i] for i in order[first:last]])):
-            out[i] = path
-        first = last
+
+class _Table:
+    """The tables of short pairs, a column of all of them at a time: each column is bits of one word, as Myers and Hyyrö have it."""
+
+    def __init__(self, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, steps: bool):
+        self.n, self.m = n, m
+        word = np.uint32 if n.max() <= 32 else np.uint64
+        self.a, self.b = _padded(a, n, np.dtype(word).itemsize * 8, -1), np.ascontiguousarray(_padded(b, m, int(m.max()), -2).T)
+        one, last = word(1), np.maximum(n - 1, 0).astype(word)
+        up, down = np.full(len(n), ~word(0)), np.zeros(len(n), word)
+        self.errors = n.copy()
+        self.straight, self.down = (np.zeros((int(m.max()), len(n)), word) for _ in range(2)) if steps else (None, None)
+        for j in range(int(m.max())):
+            same = np.packbits(self.a == self.b[j][:, None], axis=1, bitorder="little").view(word)[:, 0]
+            level = (((same & up) + up) ^ up) | same | down
+            more, less = down | ~(level | up), level & up
+            self.errors += np.where(j < m, (more >> last & one).astype(np.int64) - (less >> last & one).astype(np.int64), 0)
+            more, less = more << one | one, less << one
+            up, down = less | ~(level | more), more & level
+            if steps:
+                # A diagonal step costs what it should where words are equal or the cell is one more than that before; a step down where it is one more than that above.
+                self.straight[j], self.down[j] = same | ~level, up
+        self.errors = np.where(n == 0, m, self.errors)
+
+    def ops(self) -> tuple[np.ndarray, np.ndarray]:
+        """The letters of the preferred alignments end to end, and their number for each pair."""
+        rows, i, j, letters = np.arange(len(self.n)), self.n.copy(), self.m.copy(), []
+        one = self.straight.dtype.type(1)
+        while (going := (i > 0) | (j > 0)).any():
+            x, y = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+            bit = x.astype(self.straight.dtype)
+            both = (i > 0) & (j > 0)
+            if len(self.straight):
+                direct, above = (self.straight[y, rows] >> bit & one).astype(bool) & both, (self.down[y, rows] >> bit & one).astype(bool)
+                same = self.a[rows, x] == self.b[y, rows]
+            else:
+                direct = above = same = both
+            above = ~direct & (i > 0) & ((j == 0) | above)
+            letters.append(np.where(direct, np.where(same, ord("C"), ord("S")), np.where(above, ord("D"), np.where(going, ord("I"), 0))).astype(np.uint8))
+            i, j = i - (direct | above), j - (going & ~above)
+        if not letters:
+            return np.zeros(0, np.uint8), np.zeros(len(self.n), np.int64)
+        found = np.stack(letters[::-1], axis=1)
+        return found[found > 0], (found > 0).sum(1)
+
+
+def _all_ops(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of the preferred alignment of each pair, end to end, and their number for each pair."""
+    ends = [np.concatenate([[0], np.cumsum(x)]) for x in (n, m)]
+    ops, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for first, last in _slices(n, m):
+        x, y = a[ends[0][first] : ends[0][last]], b[ends[1][first] : ends[1][last]]
+        if max(n[first], m[first]) >= LONG:
+            path = np.frombuffer(path_of(x.tolist(), y.tolist()).encode(), np.uint8)
+            found = path, np.array([len(path)])
+        else:
+            found = _Table(x, n[first:last], y, m[first:last], True).ops()
+        ops.append(found[0])
+        sizes.append(found[1])
+    return np.concatenate(ops), np.concatenate(sizes)
+
+
+def _long_distance(a: list[int], b: list[int]) -> int:
+    """As the short pairs' columns, with the bits in one large number."""
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole, last, errors = (1 << len(a)) - 1, len(a) - 1, len(a)
+    up, down = whole, 0
+    for y in b:
+        same = places.get(y, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | (whole & ~(level | up)), level & up
+        errors += (more >> last & 1) - (less >> last & 1)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(level | more)) & whole, more & level & whole
+    return errors
+
+
+def _distances(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    ends = [np.concatenate([[0], np.cumsum(x)]) for x in (n, m)]
+    out = np.zeros(len(n), np.int64)
+    for first, last in _slices(n, m):
+        x, y = a[ends[0][first] : ends[0][last]], b[ends[1][first] : ends[1][last]]
+        out[first:last] = _long_distance(x.tolist(), y.tolist()) if max(n[first], m[first]) >= LONG else _Table(x, n[first:last], y, m[first:last], False).errors
     return out
 
 
-def _paths_together(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
-    rows = np.arange(len(pairs))
-    n, m = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
-    code: dict[str, int] = {}
-    a, b = np.full((len(pairs), n.max() + 1), -1), np.full((len(pairs), m.max() + 1), -2)
-    for r, (x, y) in enumerate(pairs):
-        a[r, : len(x)] = [code.setdefault(w, len(code)) for w in x]
-        b[r, : len(y)] = [code.setdefault(w, len(code)) for w in y]
-    wide = m.max()
-    places = np.arange(wide + 1)
-    line = np.tile(places, (len(pairs), 1))
-    # The step that leads to each cell: 0 diagonal, 1 down, 2 along the row.
-    step = np.full((n.max() + 1, len(pairs), wide + 1), 2, np.int8)
-    step[1:, :, 0] = 1
-    for i in range(n.max()):
-        direct, above = line[:, :-1] + (b[:, :wide] != a[:, i : i + 1]), line[:, 1:] + 1
-        start = np.concatenate([np.full((len(pairs), 1), i + 1), np.minimum(direct, above) - places[1:]], axis=1)
-        line = np.minimum.accumulate(start, axis=1) + places
-        step[i + 1, :, 1:] = np.where(line[:, 1:] == direct, 0, np.where(line[:, 1:] == above, 1, 2))
-    i, j, letters = n.copy(), m.copy(), []
-    while (going := (i > 0) | (j > 0)).any():
-        s = step[i, rows, j]
-        same = a[rows, np.maximum(i - 1, 0)] == b[rows, np.maximum(j - 1, 0)]
-        letters.append(np.where(going, np.where(s == 0, np.where(same, ord("C"), ord("S")), np.where(s == 1, ord("D"), ord("I"))), ord(" ")).astype(np.uint8))
-        i, j = i - (going & (s < 2)), j - (going & (s != 1))
-    if not letters:
-        return [""] * len(pairs)
-    return [bytes(x).decode().strip() for x in np.stack(letters[::-1], axis=1)]
+@F.arrow_udf(LongType())
+def edit_distance(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Unit-cost distance of two word arrays; null if one is."""
+    unknown = pc.or_(pc.is_null(reference), pc.is_null(hypothesis))
+    return pc.if_else(unknown, pa.scalar(None, pa.int64()), pa.array(_distances(*_coded(reference, hypothesis)), pa.int64()))
+
+
+def paths(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
+    """The preferred alignment of each pair, as ``path_of`` has it; short pairs advance together."""
+    ops, sizes = _all_ops(*_listed(pairs))
+    return [x.tobytes().decode() for x in np.split(ops, np.cumsum(sizes)[:-1])] if pairs else []
+
+
+def _counts(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    ops, sizes = _all_ops(a, n, b, m)
+    pair = np.repeat(np.arange(len(n)), sizes)
+    each = np.stack([np.bincount(pair[ops == ord(op)], minlength=len(n)) for op in "SDI"], axis=1).astype(np.int64)
+    return np.column_stack([each.sum(1), each])
 
 
 def count_edits(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
     """(cost, substitutions, deletions, insertions) of each pair; of equal costs a substitution goes before a deletion before an insertion."""
-    each = np.array([[path.count(op) for op in "SDI"] for path in paths(pairs)], np.int64).reshape(-1, 3)
-    return np.column_stack([each.sum(1), each])
+    return _counts(*_listed(pairs))
+
 
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in ("cost", "substitutions", "deletions", "insertions")]))
+def edit_counts(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    found = _counts(*_coded(reference, hypothesis))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(4)], ["cost", "substitutions", "deletions", "insertions"])
 
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("cost", "substitutions", "deletions", "insertions")]))
-def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    pairs = [(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, hypothesis)]
-    return pd.DataFrame(count_edits(pairs), columns=["cost", "substitutions", "deletions", "insertions"])
+
+def count_words(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """(op, word, n): how often the preferred alignments of all rows have a step with a word, that of the reference, or for an insertion that of the hypothesis.
+
+    Each batch is counted where it is aligned, and batches of a task are summed;
+    no step becomes a row.
+    """
+
+    def counted(batch):
+        sides = batch.column(0), batch.column(1)
+        a, n, b, m = _coded(*sides)
+        words = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode("encode").dictionary.cast(pa.string())
+        ops, _ = _all_ops(a, n, b, m)
+        heard, said = ops[ops != ord("I")], ops[ops != ord("D")]
+        for op in "CSDI":
+            times = np.bincount(b[said == ord("I")] if op == "I" else a[heard == ord(op)], minlength=len(words))
+            held = np.flatnonzero(times)
+            yield pa.table({"op": pa.array([op] * len(held), pa.string()), "word": words.take(pa.array(held)), "n": pa.array(times[held].astype(np.int64))})
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            parts += counted(batch)
+            size += sum(p.num_rows for p in parts[-4:])
+            if size > 4 * SUMMED:
+                parts = [pa.concat_tables(parts).group_by(["op", "word"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["op", "word", "n"])]
+                size = parts[0].num_rows
+                if size > SUMMED:
+                    yield from parts[0].to_batches(10_000)
+                    parts, size = [], 0
+        if parts:
+            yield from pa.concat_tables(parts).group_by(["op", "word"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["op", "word", "n"]).to_batches(10_000)
+
+    found = rows.select(reference, hypothesis).mapInArrow(run, "op string, word string, n long")
+    return found.groupBy("op", "word").agg(F.sum("n").alias("n"))
 
 
 def path_of(reference: list[str], hypothesis: list[str]) -> str:
@@ -146,12 +251,19 @@ def alignment(reference: list[str], hypothesis: list[str]) -> list[tuple[str, st
     return out
 
 
-@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("ref", "hyp")]))
-def aligned_places(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("ref", "hyp")]))
+def aligned_places(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
     """For each step of the preferred alignment the place of its reference word and of its hypothesis word, -1 for none."""
-    found = [np.frombuffer(p.encode(), np.uint8) for p in paths([(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, hypothesis)])]
-    place = lambda has: np.where(has, np.cumsum(has) - 1, -1).astype(np.int32)
-    return pd.DataFrame({"ref": [place(p != ord("I")) for p in found], "hyp": [place(p != ord("D")) for p in found]})
+    a, n, b, m = _coded(reference, hypothesis)
+    ops, sizes = _all_ops(a, n, b, m)
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+    def places(has, lengths):
+        out = np.full(len(ops), -1, np.int32)
+        out[has] = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return pa.ListArray.from_arrays(ends, pa.array(out))
+
+    return pa.StructArray.from_arrays([places(ops != ord("I"), n), places(ops != ord("D"), m)], ["ref", "hyp"])
 
 
 def align(reference: str, hypothesis: str):

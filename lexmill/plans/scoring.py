@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.functions.edit import align, edit_counts
+from lexmill.functions.edit import count_words, edit_counts
 from lexmill.functions.stats import hash_number, multinomial_draws, resample
 from lexmill.operators import report
 from lexmill.plans import views as V
@@ -48,7 +48,7 @@ def wer_mask_fanout(spark, sf):
 
 @query()
 def wer_sdi_by_lang(spark, sf):
-    """Substitutions, deletions and insertions of the preferred alignment; their sum is held against the built-in distance."""
+    """Substitutions, deletions and insertions of the preferred alignment; their sum is held against the distance."""
     e = V.scored_utterances(spark, sf).withColumn("e", edit_counts("ref", "hyp"))
     return e.groupBy("lang").agg(F.sum("words").alias("words"), F.sum("errors").alias("errors"), *(F.sum(f"e.{c}").alias(c) for c in ("substitutions", "deletions", "insertions")), F.sum((F.col("e.cost") != F.col("errors")).cast("long")).alias("disagreements"))
 
@@ -56,9 +56,7 @@ def wer_sdi_by_lang(spark, sf):
 @query()
 def class_error_attribution(spark, sf):
     """Errors by word class; insertions count for the hypothesis word's class, reference words only for references."""
-    ops = V.utterances(spark, sf).select(F.explode(align("ref", "hyp")).alias("o")).select("o.*")
-    word = F.when(F.col("op") == "I", F.col("hyp")).otherwise(F.col("ref"))
-    rows = ops.groupBy("op", word.alias("word")).agg(F.count("*").alias("n")).withColumn("word_class", T.word_class(F.col("word")))
+    rows = count_words(V.utterances(spark, sf), "ref", "hyp").withColumn("word_class", T.word_class(F.col("word")))
     hit = lambda op: F.sum(F.when(F.col("op") == op, F.col("n")).otherwise(0))
     return rows.groupBy("word_class").agg(
         F.sum(F.when(F.col("op") != "I", F.col("n")).otherwise(0)).alias("reference_words"), hit("S").alias("substitutions"), hit("D").alias("deletions"), hit("I").alias("insertions"),

@@ -185,3 +185,34 @@ def test_radio_band():
     heard, noisy = stats.band_pass(x, 16000), stats.radio(x, 16000, 4)
     assert np.sqrt(np.mean(heard**2) / np.mean((noisy - heard) ** 2)) == pytest.approx(10, rel=0.05)
     assert (noisy == stats.radio(x, 16000, 4)).all() and np.abs(noisy).max() <= 0.99
+
+
+def test_pairs_of_all_lengths_together(monkeypatch):
+    r = random.Random(9)
+    for most in (1, 33, 64, 70):
+        pairs = [([r.choice("abcd") for _ in range(r.randint(0, most))], [r.choice("abcd") for _ in range(r.randint(0, most))]) for _ in range(60)]
+        for together in (2048, 7):
+            monkeypatch.setattr(edit, "TOGETHER", together)
+            assert edit.paths(pairs) == [edit.path_of(a, b) for a, b in pairs]
+            assert edit._distances(*edit._listed(pairs)).tolist() == [distance(a, b) for a, b in pairs]
+
+
+def test_words_are_counted_by_step(spark, monkeypatch):
+    from collections import Counter
+
+    pairs = random_pairs(200, 3) + [([], [])]
+    want = Counter((op, b if op == "I" else a) for x, y in pairs for op, a, b in edit.alignment(x, y))
+    d = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    for most in (500_000, 1):
+        monkeypatch.setattr(edit, "SUMMED", most)
+        rows = edit.count_words(d, "a", "b").collect()
+        assert {(r.op, r.word): r.n for r in rows} == want and len(rows) == len(want)
+
+
+def test_utterances_are_scored_once(spark, sf):
+    from lexmill.plans import scoring
+
+    plan = scoring.wer_mask_fanout(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    steps = scoring.class_error_attribution(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan and plan.count("edit_distance") == 0
+    assert "levenshtein" not in steps and "zip_with" not in steps and "MapInArrow" in steps
