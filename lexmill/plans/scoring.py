@@ -11,6 +11,7 @@ from lexmill.functions.stats import hash_number, multinomial_draws, resample
 from lexmill.operators import report
 from lexmill.plans import views as V
 from lexmill.plans.registry import query
+from lexmill.session import stored
 
 WER = "count(*) AS utterances, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, round(sum(errors) / nullif(sum(words), 0), 6) AS wer"
 
@@ -37,7 +38,8 @@ def wer_by_view(spark, sf):
 def wer_mask_fanout(spark, sf):
     """Rates under each exclusion mask: the sums over all rows less those over the rows that a mask excludes. No list of masks is held anywhere."""
     sums = [F.count("*").alias("utterances"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")]
-    each = V.scored_utterances(spark, sf).groupBy("id").agg(*sums)
+    # Both sums read it: utterances are scored once.
+    each = stored(V.scored_utterances(spark, sf).groupBy("id").agg(*sums))
     held = V.masks(spark, sf).distinct()
     out = held.join(each, "id", "left").groupBy("mask").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"out_{c}") for c in ("utterances", "errors", "words")))
     whole = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in ("utterances", "errors", "words")))
