@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.functions.stats import pearson, rms, clipped_share
-from lexmill.operators import curate, overlap, splits
+from lexmill.operators import curate, overlap, runs, splits
 from lexmill.operators.report import share, split_summary as summarise
 from lexmill.plans import views as V
 from lexmill.plans.registry import query
@@ -454,16 +454,14 @@ def _runs(spark, sf, n: int, least: int):
     Runs are counted once, by a 64-bit hash, with the smallest document that
     holds them; only those documents are read again, to spell their runs out.
     """
-    d = V.table(spark, sf, "documents").select("doc_id", T.score_words(F.col("text")).alias("w"))
+    d = V.table(spark, sf, "documents")
+    # Seven characters a word, about: this sets the number of buckets alone.
+    size = (d.agg(F.sum("n_chars")).first()[0] or 0) // 7
+    d = d.select("doc_id", T.score_words(F.col("text")).alias("w"))
     # No filter by length before the runs: it would move below the words and make them twice.
-    enough = F.size("w") >= n
-    hashes = F.when(enough, T.gram_hashes(F.col("w"), n, distinct=False))
-    counted = d.select("doc_id", F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
-    counted = stored(counted)
-    few = (lambda x: F.broadcast(x)) if counted.count() <= 1_000_000 else (lambda x: x)
-    holders = d.join(few(counted.select("doc_id").distinct()), "doc_id", "left_semi")
-    spelled = F.transform(F.when(enough, F.sequence(F.lit(1), F.size("w") - (n - 1))), lambda i: F.struct(F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("gram")))
-    return holders.select("doc_id", F.explode(spelled).alias("r")).select("doc_id", "r.*").join(few(counted), ["doc_id", "h"]).groupBy("gram", "n").agg(F.lit(1)).select("gram", "n")
+    hashes = F.when(F.size("w") >= n, T.gram_hashes(F.col("w"), n, distinct=False))
+    counted = stored(runs.frequent(d.select("doc_id", hashes.alias("h")), least, size))
+    return runs.spelled(d, hashes, counted, n)
 
 
 @query(f"""WITH w AS (SELECT {V.words_sql(V.NORM_SCORE)} AS w FROM documents),
